@@ -597,7 +597,7 @@ def _comment_rows(rows: DataFrame) -> DataFrame:
         "number",
         F.col("c.id").alias("comment_id"),
         F.col("c.author").alias("author"),
-        F.col("c.timestamp").alias("at"),
+        F.col("c.timestamp").alias("posted_at"),
         F.col("c.body").alias("body"),
         F.col("c.is_accepted").alias("is_accepted"),
         F.col("c.role").alias("role"),
@@ -648,7 +648,7 @@ def reread_thread_comments(spark, sf):
     rows = threads.all_threads(_issue_threads(spark, sf), _discussion_threads(spark, sf))
     return threads.comments_from_text(rows).select(
         "source", "repo", "number", F.col("position").cast("bigint").alias("position"), "author",
-        F.col("timestamp").alias("at"), "is_accepted", text.squash(F.col("body")).alias("body"),
+        F.col("timestamp").alias("posted_at"), "is_accepted", text.squash(F.col("body")).alias("body"),
     )
 
 
