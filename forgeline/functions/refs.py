@@ -16,11 +16,16 @@ ISSUE_URL = r"https?://github\.com/[^/]+/[^/]+/issues/"
 BUG_FIX_WORDS = ("fix", "bug", "patch", "regression", "crash", "error")
 
 
-def _numbers(text: Column, patterns: list[str]) -> Column:
+def _numbers(text: Column, patterns: list[str], mark: str = "#") -> Column:
+    """Numbers captured by each pattern in turn.
+
+    Every match holds ``mark``, so texts without it skip the patterns.
+    """
     safe = F.coalesce(text, F.lit(""))
     found = [F.regexp_extract_all(safe, F.lit(f"(?i){p}"), F.lit(1)) for p in patterns]
     # A number too long for 64 bits names no issue; it becomes null and is dropped.
-    return F.array_compact(reduce(lambda a, b: F.concat(a, b), found).try_cast("array<bigint>"))
+    numbers = F.array_compact(reduce(lambda a, b: F.concat(a, b), found).try_cast("array<bigint>"))
+    return F.when(F.contains(safe, F.lit(mark)), numbers).otherwise(F.array().cast("array<bigint>"))
 
 
 def duplicate_refs(text: Column) -> Column:
@@ -40,10 +45,8 @@ def closing_refs(text: Column, strict: bool = False) -> Column:
 def commit_refs(message: Column, strict: bool = False) -> Column:
     """As :func:`closing_refs`, plus the full issue-URL form."""
     start = r"\b" if strict else ""
-    return _numbers(
-        message,
-        [rf"{start}{CLOSING_KEYWORD}#(\d+)", rf"{start}{CLOSING_KEYWORD}{ISSUE_URL}(\d+)"],
-    )
+    by_url = _numbers(message, [rf"{start}{CLOSING_KEYWORD}{ISSUE_URL}(\d+)"], mark="://")
+    return F.concat(closing_refs(message, strict), by_url)
 
 
 def mentions(text: Column) -> Column:

@@ -19,47 +19,60 @@ def with_source_labels(raw: DataFrame, labels: tuple[str, ...]) -> DataFrame:
     return raw.filter(F.arrays_overlap(or_empty(F.col("labels.nodes.name")), wanted))
 
 
-def fold_timeline(nodes: Column, bug_labels: tuple[str, ...]) -> dict[str, Column]:
-    """Histories and first-response facts of an ordered event list.
+def _of_kind(kind: str):
+    return lambda e: e["__typename"] == kind
+
+
+def _label_name(e: Column) -> Column:
+    return F.coalesce(e["label"]["name"], F.lit(""))
 
-    "First" and "after" follow list positions, not timestamps.
-    """
-    events = F.coalesce(nodes, F.from_json(F.lit("[]"), TIMELINE_DDL))
-    placed = F.transform(events, lambda e, i: F.struct(i.alias("pos"), e.alias("event")))
 
-    def of_kind(kind: str):
-        return lambda e: e["__typename"] == kind
+def _is_assignment(e: Column) -> Column:
+    return _of_kind("AssignedEvent")(e) & present(e["assignee"]["login"])
 
-    def label_name(e: Column) -> Column:
-        return F.coalesce(e["label"]["name"], F.lit(""))
 
-    def is_assignment(e: Column) -> Column:
-        return of_kind("AssignedEvent")(e) & present(e["assignee"]["login"])
+def fold_timeline(df: DataFrame, nodes: str, bug_labels: tuple[str, ...]) -> DataFrame:
+    """Add histories and first-response facts of an ordered event list to each row.
+
+    "First" and "after" follow list positions, not timestamps. Adds
+    assignment_history, label_history, cross_refs, first_bug_label_at,
+    first_assignee_after_bug_label and last_closed_event_at.
+    """
+    events = F.coalesce(F.col(nodes), F.from_json(F.lit("[]"), TIMELINE_DDL))
+    wanted = [b.lower() for b in bug_labels]
 
     def is_bug_label(e: Column) -> Column:
-        return of_kind("LabeledEvent")(e) & F.lower(label_name(e)).isin(*[b.lower() for b in bug_labels])
+        return _of_kind("LabeledEvent")(e) & F.lower(_label_name(e)).isin(*wanted)
 
+    # Each step is a column of its own, so that the next one does not repeat it per event.
+    staged = df.withColumn("_events", events)
     if bug_labels:
-        first_bug = F.get(F.filter(placed, lambda p: is_bug_label(p["event"])), 0)
+        placed = F.transform("_events", lambda e, i: F.struct(i.alias("pos"), e.alias("event")))
+        staged = staged.withColumn("_placed", placed).withColumn(
+            "_first_bug", F.get(F.filter("_placed", lambda p: is_bug_label(p["event"])), 0)
+        )
         first_assignee = F.get(
-            F.filter(placed, lambda p: is_assignment(p["event"]) & (p["pos"] > first_bug["pos"])), 0
+            F.filter(
+                "_placed", lambda p: (p["pos"] > F.col("_first_bug.pos")) & _is_assignment(p["event"])
+            ),
+            0,
         )["event"]["assignee"]["login"]
-        first_bug_at = parse_iso(first_bug["event"]["createdAt"])
+        first_bug_at = parse_iso(F.col("_first_bug.event.createdAt"))
     else:
         first_assignee = F.lit(None).cast("string")
         first_bug_at = F.lit(None).cast("timestamp")
 
-    return {
+    facts = {
         "assignment_history": F.transform(
-            F.filter(events, is_assignment),
+            F.filter("_events", _is_assignment),
             lambda e: F.struct(e["assignee"]["login"].alias("assignee"), parse_iso(e["createdAt"]).alias("at")),
         ),
         "label_history": F.transform(
-            F.filter(events, of_kind("LabeledEvent")),
-            lambda e: F.struct(label_name(e).alias("label"), parse_iso(e["createdAt"]).alias("at")),
+            F.filter("_events", _of_kind("LabeledEvent")),
+            lambda e: F.struct(_label_name(e).alias("label"), parse_iso(e["createdAt"]).alias("at")),
         ),
         "cross_refs": F.transform(
-            F.filter(events, of_kind("CrossReferencedEvent")),
+            F.filter("_events", _of_kind("CrossReferencedEvent")),
             lambda e: F.struct(
                 e["source"]["number"].alias("ref_number"),
                 e["source"]["title"].alias("ref_title"),
@@ -70,11 +83,20 @@ def fold_timeline(nodes: Column, bug_labels: tuple[str, ...]) -> dict[str, Colum
         "first_bug_label_at": first_bug_at,
         "first_assignee_after_bug_label": first_assignee,
         "last_closed_event_at": parse_iso(
-            F.try_element_at(F.filter(events, of_kind("ClosedEvent")), F.lit(-1))["createdAt"]
+            F.try_element_at(F.filter("_events", _of_kind("ClosedEvent")), F.lit(-1))["createdAt"]
         ),
     }
+    return staged.withColumns(facts).drop("_events", "_placed", "_first_bug")
 
 
+FOLDED = (
+    "assignment_history",
+    "label_history",
+    "cross_refs",
+    "first_bug_label_at",
+    "first_assignee_after_bug_label",
+    "last_closed_event_at",
+)
 TIMELINE_DDL = (
     "ARRAY<STRUCT<__typename:STRING, createdAt:STRING, assignee:STRUCT<login:STRING>, "
     "label:STRUCT<name:STRING>, source:STRUCT<number:BIGINT, title:STRING, state:STRING>>>"
@@ -116,9 +138,7 @@ def normalise_issues(
     keep; by default they are lost together with the comment.
     """
     body = F.coalesce(F.col("body"), F.lit(""))
-    folded = fold_timeline(F.col("timelineItems.nodes"), settings.bug_labels)
-
-    base = raw.select(
+    base = fold_timeline(raw, "timelineItems.nodes", settings.bug_labels).select(
         "repo",
         "number",
         "title",
@@ -129,7 +149,7 @@ def normalise_issues(
         F.col("author.login").alias("reporter"),
         or_empty(F.col("labels.nodes.name")).alias("labels"),
         or_empty(F.col("assignees.nodes.login")).alias("assignees"),
-        *[column.alias(name) for name, column in folded.items()],
+        *FOLDED,
         keep_comments(F.col("comments.nodes"), settings.min_text_chars).alias("comments"),
         F.coalesce(F.col("comments.totalCount"), F.lit(0)).alias("comment_count"),
         refs.duplicate_refs(body).alias("_dup"),
@@ -167,3 +187,4 @@ def normalise_issues(
         "comment_count",
         *(["last_closed_event_at"] if with_last_closed_event else []),
     )
+

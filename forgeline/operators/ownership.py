@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from forgeline.functions.text import ancestors, is_shallow, present
+from forgeline.functions.text import is_shallow, present
 from forgeline.operators.ranking import nest, top_k
 
 
@@ -44,18 +44,16 @@ def commits_per_author(commits: DataFrame) -> DataFrame:
 def path_expertise(touches: DataFrame) -> DataFrame:
     """Touches per (repo, login, path) where path is a file or any directory above it.
 
-    Files are counted before they are rolled up, so the directory explosion works
-    on one row per (author, file).
+    The roll-up happens before the one shuffle; directories combine on the map side.
     """
-    per_file = (
+    levels = F.sequence(F.lit(1), F.size(F.split("path", "/")))
+    rolled = (
         touches.filter(present(F.col("author_login")))
-        .groupBy("repo", F.col("author_login").alias("login"), F.col("path"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        .select("repo", F.col("author_login").alias("login"), "path", F.explode(levels).alias("level"))
+        # the first n parts of the path: a directory, or the file at its full depth
+        .withColumn("path", F.expr("substring_index(path, '/', level)"))
     )
-    rolled = per_file.select(
-        "repo", "login", F.explode(F.concat(F.array("path"), ancestors(F.col("path")))).alias("path"), "n"
-    )
-    return rolled.groupBy("repo", "login", "path").agg(F.sum("n").alias("commits"))
+    return rolled.groupBy("repo", "login", "path").agg(F.count(F.lit(1)).alias("commits"))
 
 
 def top_paths(touches: DataFrame, k: int = 20) -> DataFrame:

@@ -86,10 +86,21 @@ def _paths(spark: SparkSession, sf: str) -> DataFrame:
 
 def _totals(spark: SparkSession, sf: str) -> DataFrame:
     return contributors.activity_totals(
-        contributors.activity_rows(star.commit_rows(spark, sf), _issues(spark, sf), _pulls(spark, sf))
+        contributors.activity_rows(
+            star.commit_rows(spark, sf),
+            star.issue_people(spark, sf),
+            star.comment_people(spark, sf),
+            star.review_people(spark, sf),
+        )
     )
 
 
+def _issue_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The issue columns duplicate pairs read, written because they read them twice."""
+    columns = ["repo", "number", "title", "body", "duplicate_of", "is_duplicate"]
+    return settle(_issues(spark, sf).select(*columns), "issue-texts")
+
+
 def _leaders(spark: SparkSession, sf: str, paths: DataFrame) -> DataFrame:
     """Written before use, so that the optimizer knows the size of the join side."""
     return settle(qa_pairs.top_profiles(_totals(spark, sf), paths), "leaders")
@@ -463,7 +474,7 @@ def _flat(pairs: DataFrame, **fields: str) -> DataFrame:
 @query
 def duplicate_positive_pairs(spark, sf):
     return _flat(
-        qa_pairs.duplicate_positives(qa_pairs.Tables(issues=_issues(spark, sf))),
+        qa_pairs.duplicate_positives(qa_pairs.Tables(issues=_issue_texts(spark, sf))),
         is_duplicate="ground_truth:$.is_duplicate:boolean",
         target="ground_truth:$.duplicate_of_issue:bigint",
         target_title="ground_truth:$.original_title:string",
@@ -474,7 +485,7 @@ def duplicate_positive_pairs(spark, sf):
 @query
 def duplicate_negative_pairs(spark, sf):
     return _flat(
-        qa_pairs.duplicate_negatives(qa_pairs.Tables(issues=_issues(spark, sf))),
+        qa_pairs.duplicate_negatives(qa_pairs.Tables(issues=_issue_texts(spark, sf))),
         is_duplicate="ground_truth:$.is_duplicate:boolean",
         target="ground_truth:$.duplicate_of_issue:bigint",
         partner="artifacts_needed:$.candidate_issues[0].number:bigint",
@@ -548,8 +559,9 @@ def primary_owner_pairs(spark, sf):
 
 @query
 def review_time_pairs(spark, sf):
+    waits = settle(_pulls(spark, sf).select("repo", "number", "hours_to_first_review"), "waits")
     return _flat(
-        qa_pairs.review_time(qa_pairs.Tables(pull_requests=_pulls(spark, sf))),
+        qa_pairs.review_time(qa_pairs.Tables(pull_requests=waits)),
         median_hours="ground_truth:$.median_hours_to_first_review:double",
         sample_size="ground_truth:$.sample_size:bigint",
         first_sample="artifacts_needed:$.pr_review_history[0]:double",
@@ -562,13 +574,10 @@ def _all_pairs(spark, sf):
     paths = settle(ownership.top_paths(touched), "top-paths")
     issue_rows = settle(_issues(spark, sf), "issues")
     pull_rows = settle(_pulls(spark, sf), "pulls")
-    totals = contributors.activity_totals(
-        contributors.activity_rows(star.commit_rows(spark, sf), issue_rows, pull_rows)
-    )
     return qa_pairs.build_all(
         qa_pairs.Tables(
             issues=issue_rows,
-            leaders=settle(qa_pairs.top_profiles(totals, paths), "leaders"),
+            leaders=_leaders(spark, sf, paths),
             paths=paths,
             inducing=inducing.inducing_pairs(touched),
             ci_runs=settle(_runs(spark, sf), "ci-runs"),

@@ -47,11 +47,13 @@ def mine(
     save("file_ownership", ownership.file_ownership(touched))
     save("szz_pairs", inducing.inducing_pairs(touched, settings.inducing_window_days))
     paths = tables.settle(ownership.top_paths(touched, settings.top_files_per_author), "top-paths")
+    reported = _stored(spark, root, "issues", repos)
     totals = contributors.activity_totals(
         contributors.activity_rows(
             _stored(spark, root, "commits", repos),
-            _stored(spark, root, "issues", repos),
-            _stored(spark, root, "pull_requests", repos),
+            reported,
+            contributors.comment_rows(reported),
+            contributors.review_rows(_stored(spark, root, "pull_requests", repos)),
         )
     )
     save("contributors", contributors.profiles(totals, paths))

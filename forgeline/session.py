@@ -32,6 +32,7 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
         .appName("forgeline")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )

@@ -22,8 +22,26 @@ from forgeline.settings import LANDED_LIMITS
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice"]
 
 
+# Declared schemas: no job is needed to look them up.
+TABLES = {
+    "orders": """o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE,
+        o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING""",
+    "lineitem": """l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT,
+        l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE,
+        l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ""",
+    "part": """p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT,
+        p_retailprice DOUBLE""",
+    "events": """event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING,
+        value DOUBLE, props STRING""",
+    "conversations": "conv_id BIGINT, turn BIGINT, role STRING, text STRING",
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+    "labels": "doc_id BIGINT, quality INT, toxic INT",
+    "pages": "page_id BIGINT, url STRING, html STRING",
+}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _text(*parts: str | Column) -> Column:
@@ -154,12 +172,58 @@ def _login(name: Column) -> Column:
     return F.struct(name.alias("login"))
 
 
+def _comment_body(line: Column) -> Column:
+    ref = (
+        F.when(line["l_linenumber"] == 3, _text("duplicate of #", line["l_partkey"] % 1000))
+        .when(line["l_linenumber"] == 5, _text("similar to #", line["l_partkey"] % 1000))
+        .otherwise("")
+    )
+    return F.concat(F.repeat(F.lit("text "), line["l_quantity"].cast("int")), ref)
+
+
+def _assignees() -> Column:
+    second = F.when(F.col("o_orderkey") % 2 == 0, _text("u", F.col("o_custkey") % 31))
+    return F.array_compact(F.array(_text("u", F.col("o_custkey") % 50), second))
+
+
+def issue_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repo, reporter, assignees) per issue."""
+    return read(spark, sf_dir, "orders").select(
+        _repo("o_orderkey").alias("repo"), _customer().alias("reporter"), _assignees().alias("assignees")
+    )
+
+
+def _first_lines(spark: SparkSession, sf_dir: str, limit: str) -> DataFrame:
+    order = [F.asc(c) for c in LINE_ORDER]
+    return top_k(read(spark, sf_dir, "lineitem"), ["l_orderkey"], order, LANDED_LIMITS[limit], "pos")
+
+
+def comment_people(spark: SparkSession, sf_dir: str, min_chars: int = 100) -> DataFrame:
+    """(repo, login) per issue comment long enough to be kept."""
+    line = F.struct("l_linenumber", "l_partkey", "l_quantity", "l_suppkey")
+    rows = _first_lines(spark, sf_dir, "issue_comments").select("l_orderkey", line.alias("line"))
+    return rows.filter(F.char_length(_comment_body(F.col("line"))) >= min_chars).select(
+        _repo("l_orderkey").alias("repo"), _supplier(F.col("line")).alias("login")
+    )
+
+
+def review_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repo, author, reviewer) per review."""
+    lines = _first_lines(spark, sf_dir, "reviews").select(
+        F.col("l_orderkey").alias("o_orderkey"), F.struct("l_suppkey").alias("line")
+    )
+    authors = read(spark, sf_dir, "orders").select("o_orderkey", _customer().alias("author"))
+    return lines.join(authors, "o_orderkey").select(
+        _repo("o_orderkey").alias("repo"), "author", _supplier(F.col("line")).alias("reviewer")
+    )
+
+
 def raw_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     orders = read(spark, sf_dir, "orders").join(
         _order_lines(spark, sf_dir, LANDED_LIMITS["timeline"]), "o_orderkey", "left"
     )
-    number = F.floor(k / 3)
+    number = F.expr("o_orderkey div 3")
     body = (
         F.when(k % 7 == 0, _text("Crash seen. Duplicate of #", k % 5003))
         .when(k % 7 == 1, _text("Same as #1 and dup of #", k % 701, ". See also #", k % 211))
@@ -169,20 +233,12 @@ def raw_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = F.array_compact(
         F.array(F.col("o_orderpriority"), F.when(k % 4 == 0, "Bug"), F.when(k % 11 == 0, "Duplicate"))
     )
-    assignees = F.array_compact(
-        F.array(_text("u", F.col("o_custkey") % 50), F.when(k % 2 == 0, _text("u", F.col("o_custkey") % 31)))
-    )
 
     def comment(line: Column) -> Column:
-        ref = (
-            F.when(line["l_linenumber"] == 3, _text("duplicate of #", line["l_partkey"] % 1000))
-            .when(line["l_linenumber"] == 5, _text("similar to #", line["l_partkey"] % 1000))
-            .otherwise("")
-        )
         return F.struct(
             (k * 100 + line["pos"]).cast("bigint").alias("databaseId"),
             _login(_supplier(line)).alias("author"),
-            F.concat(F.repeat(F.lit("text "), line["l_quantity"].cast("int")), ref).alias("body"),
+            _comment_body(line).alias("body"),
             line["shipped"].alias("createdAt"),
         )
 
@@ -219,7 +275,7 @@ def raw_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderstatus") == "F", _iso("last_ship")).alias("closedAt"),
         _login(_customer()).alias("author"),
         _nodes(F.transform(labels, lambda x: F.struct(x.alias("name")))).alias("labels"),
-        _nodes(F.transform(assignees, _login)).alias("assignees"),
+        _nodes(F.transform(_assignees(), _login)).alias("assignees"),
         F.struct(
             F.coalesce("n_lines", F.lit(0)).alias("totalCount"), F.transform("lines", comment).alias("nodes")
         ).alias("comments"),
@@ -232,7 +288,7 @@ def raw_pull_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read(spark, sf_dir, "orders").join(
         _order_lines(spark, sf_dir, LANDED_LIMITS["reviews"]).select("o_orderkey", "lines"), "o_orderkey", "left"
     )
-    number = F.floor(k / 3)
+    number = F.expr("o_orderkey div 3")
     status = F.col("o_orderstatus")
     body = (
         F.when(k % 5 == 0, _text("This fixes #", k % 400, " and closes #", k % 300))
