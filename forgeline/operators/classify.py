@@ -15,8 +15,6 @@ from forgeline.settings import Settings
 
 THREAD_KEY = ["repo", "source", "number"]
 
-SYSTEM_PROMPT = "You label developer discussions for a research data set. Reply with JSON only."
-
 # Wording of this library; the reply fields are what the parser below expects.
 STAGE1_TASK = """Decide whether the thread asks for information about the development process
 (people, ownership, history, reviews, builds, planning) and also answers it.

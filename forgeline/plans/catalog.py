@@ -888,9 +888,8 @@ def incremental_classification(spark, sf):
     replies = settle(star.document_responses(spark, sf), "replies")
 
     def responses(prompts: DataFrame, stage: int) -> DataFrame:
-        answers = prompts.sparkSession.read.schema(replies.schema).parquet(*replies.inputFiles())
         return prompts.select(*classify.THREAD_KEY).join(
-            classify.replies_of_stage(answers, stage), classify.THREAD_KEY
+            classify.replies_of_stage(replies, stage), classify.THREAD_KEY
         )
 
     stream = _as_stream(star.document_threads(spark, sf), "threads")

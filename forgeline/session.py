@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -41,8 +42,13 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
     return spark
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="forgeline-")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for checkpoints and intermediate tables, reachable by every executor.
+    """Folder for intermediate tables and stream checkpoints, reachable by every executor.
 
     The cluster names it in ``spark.checkpoint.dir``. Only a local session, which
     has no other machine to share with, may fall back to a temporary folder.
@@ -52,9 +58,7 @@ def shared_folder(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="forgeline-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _local_folder()
 
 
 def new_run_folder(spark: SparkSession, name: str) -> str:
