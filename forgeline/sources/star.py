@@ -148,19 +148,23 @@ def raw_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _order_lines(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
-    """Per order: number of lines, last ship date, and its first lines as an array."""
-    lines = read(spark, sf_dir, "lineitem")
-    totals = lines.groupBy("l_orderkey").agg(
+# Columns of an order line by name, as the record functions below take them.
+def _line() -> dict[str, Column]:
+    return {c: F.col(c) for c in (*LINE_ORDER, "l_orderkey", "l_returnflag", "l_linestatus", "pos")}
+
+
+def _order_lines(spark: SparkSession, sf_dir: str, limit: str, **records: Column) -> DataFrame:
+    """Per order: number of lines, last ship date, and an array per record of its first lines.
+
+    Records are built on flat rows, in generated code, before they are collected.
+    """
+    totals = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
         F.count(F.lit(1)).alias("n_lines"), F.max("l_shipdate").alias("last_ship")
     )
-    first = top_k(lines, ["l_orderkey"], [F.asc(c) for c in LINE_ORDER], limit, "pos").withColumn(
-        "shipped", _iso("l_shipdate")
+    built = _first_lines(spark, sf_dir, limit).select(
+        "l_orderkey", "pos", *[column.alias(name) for name, column in records.items()]
     )
-    record = F.struct(
-        "pos", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus", "shipped"
-    )
-    nested = nest(first, ["l_orderkey"], record, "pos", "lines")
+    nested = nest(built, ["l_orderkey"], F.struct(*records), "pos", "lines")
     return totals.join(nested, "l_orderkey").withColumnRenamed("l_orderkey", "o_orderkey")
 
 
@@ -218,11 +222,42 @@ def review_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _comment(line: dict[str, Column]) -> Column:
+    return F.struct(
+        (line["l_orderkey"] * 100 + line["pos"]).alias("databaseId"),
+        _login(_supplier(line)).alias("author"),
+        _comment_body(line).alias("body"),
+        _iso("l_shipdate").alias("createdAt"),
+    )
+
+
+def _event(line: dict[str, Column]) -> Column:
+    ln = line["l_linenumber"]
+    kind = (
+        F.when(ln % 5 == 0, "CrossReferencedEvent")
+        .when(ln == 7, "ClosedEvent")
+        .when(ln % 2 == 0, "AssignedEvent")
+        .otherwise("LabeledEvent")
+    )
+    source = F.struct(
+        line["l_partkey"].alias("number"),
+        _text("ref ", line["l_partkey"]).alias("title"),
+        F.when(line["l_linestatus"] == "O", "OPEN").otherwise("MERGED").alias("state"),
+    )
+    label = F.when(line["l_returnflag"] == "R", "Bug").otherwise(line["l_returnflag"])
+    return F.struct(
+        kind.alias("__typename"),
+        _iso("l_shipdate").alias("createdAt"),
+        _login(_supplier(line)).alias("assignee"),
+        F.struct(label.alias("name")).alias("label"),
+        F.when(line["l_suppkey"] % 10 != 0, source).alias("source"),
+    )
+
+
 def raw_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    orders = read(spark, sf_dir, "orders").join(
-        _order_lines(spark, sf_dir, LANDED_LIMITS["timeline"]), "o_orderkey", "left"
-    )
+    lines = _order_lines(spark, sf_dir, "timeline", comment=_comment(_line()), event=_event(_line()))
+    orders = read(spark, sf_dir, "orders").join(lines, "o_orderkey", "left")
     number = F.expr("o_orderkey div 3")
     body = (
         F.when(k % 7 == 0, _text("Crash seen. Duplicate of #", k % 5003))
@@ -233,38 +268,6 @@ def raw_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = F.array_compact(
         F.array(F.col("o_orderpriority"), F.when(k % 4 == 0, "Bug"), F.when(k % 11 == 0, "Duplicate"))
     )
-
-    def comment(line: Column) -> Column:
-        return F.struct(
-            (k * 100 + line["pos"]).cast("bigint").alias("databaseId"),
-            _login(_supplier(line)).alias("author"),
-            _comment_body(line).alias("body"),
-            line["shipped"].alias("createdAt"),
-        )
-
-    def event(line: Column) -> Column:
-        ln = line["l_linenumber"]
-        kind = (
-            F.when(ln % 5 == 0, "CrossReferencedEvent")
-            .when(ln == 7, "ClosedEvent")
-            .when(ln % 2 == 0, "AssignedEvent")
-            .otherwise("LabeledEvent")
-        )
-        source = F.struct(
-            line["l_partkey"].alias("number"),
-            _text("ref ", line["l_partkey"]).alias("title"),
-            F.when(line["l_linestatus"] == "O", "OPEN").otherwise("MERGED").alias("state"),
-        )
-        return F.struct(
-            kind.alias("__typename"),
-            line["shipped"].alias("createdAt"),
-            _login(_supplier(line)).alias("assignee"),
-            F.struct(
-                F.when(line["l_returnflag"] == "R", "Bug").otherwise(line["l_returnflag"]).alias("name")
-            ).alias("label"),
-            F.when(line["l_suppkey"] % 10 != 0, source).alias("source"),
-        )
-
     return orders.select(
         _repo("o_orderkey").alias("repo"),
         number.alias("number"),
@@ -277,17 +280,46 @@ def raw_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
         _nodes(F.transform(labels, lambda x: F.struct(x.alias("name")))).alias("labels"),
         _nodes(F.transform(_assignees(), _login)).alias("assignees"),
         F.struct(
-            F.coalesce("n_lines", F.lit(0)).alias("totalCount"), F.transform("lines", comment).alias("nodes")
+            F.coalesce("n_lines", F.lit(0)).alias("totalCount"), F.col("lines.comment").alias("nodes")
         ).alias("comments"),
-        _nodes(F.transform("lines", event)).alias("timelineItems"),
+        _nodes(F.col("lines.event")).alias("timelineItems"),
+    )
+
+
+def _request(line: dict[str, Column]) -> Column:
+    ln = line["l_linenumber"]
+    person = F.when(ln % 2 == 1, _text("s", line["l_suppkey"])).alias("login")
+    team = F.when(ln % 4 == 0, _text("team", line["l_suppkey"] % 5)).alias("slug")
+    return F.struct(F.struct(person, team).alias("requestedReviewer"))
+
+
+def _review(line: dict[str, Column]) -> Column:
+    ln = line["l_linenumber"]
+    return F.struct(
+        _login(_supplier(line)).alias("author"),
+        line["l_returnflag"].alias("state"),
+        F.when(ln != 6, _iso("l_shipdate")).alias("submittedAt"),
+        F.when(ln != 1, F.repeat(F.lit("x"), line["l_quantity"].cast("int"))).alias("body"),
+    )
+
+
+def _review_thread(line: dict[str, Column]) -> Column:
+    comment = F.struct(
+        _login(_supplier(line)).alias("author"),
+        _text("p", line["l_partkey"]).alias("path"),
+        F.repeat(F.lit("word "), line["l_quantity"].cast("int")).alias("body"),
+        _iso("l_shipdate").alias("createdAt"),
     )
+    return F.struct(_nodes(F.array(comment)).alias("comments"))
 
 
 def raw_pull_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    orders = read(spark, sf_dir, "orders").join(
-        _order_lines(spark, sf_dir, LANDED_LIMITS["reviews"]).select("o_orderkey", "lines"), "o_orderkey", "left"
+    line = _line()
+    lines = _order_lines(
+        spark, sf_dir, "reviews", request=_request(line), review=_review(line), thread=_review_thread(line)
     )
+    orders = read(spark, sf_dir, "orders").join(lines.select("o_orderkey", "lines"), "o_orderkey", "left")
     number = F.expr("o_orderkey div 3")
     status = F.col("o_orderstatus")
     body = (
@@ -300,34 +332,8 @@ def raw_pull_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     def after_hours(hours: Column) -> Column:
         return format_iso(F.timestamp_micros(F.unix_micros(ordered) + hours.cast("bigint") * 3_600_000_000))
 
-    def request(line: Column) -> Column:
-        ln = line["l_linenumber"]
-        return F.struct(
-            F.struct(
-                F.when(ln % 2 == 1, _text("s", line["l_suppkey"])).alias("login"),
-                F.when(ln % 4 == 0, _text("team", line["l_suppkey"] % 5)).alias("slug"),
-            ).alias("requestedReviewer")
-        )
-
-    def review(line: Column) -> Column:
-        return F.struct(
-            _login(_supplier(line)).alias("author"),
-            line["l_returnflag"].alias("state"),
-            F.when(line["l_linenumber"] != 6, line["shipped"]).alias("submittedAt"),
-            F.when(line["l_linenumber"] != 1, F.repeat(F.lit("x"), line["l_quantity"].cast("int"))).alias("body"),
-        )
-
-    def thread(line: Column) -> Column:
-        comment = F.struct(
-            _login(_supplier(line)).alias("author"),
-            _text("p", line["l_partkey"]).alias("path"),
-            F.repeat(F.lit("word "), line["l_quantity"].cast("int")).alias("body"),
-            line["shipped"].alias("createdAt"),
-        )
-        return F.struct(_nodes(F.array(comment)).alias("comments"))
-
-    def first(limit: str) -> Column:
-        return F.slice("lines", 1, LANDED_LIMITS[limit])
+    def first(record: str, limit: str) -> Column:
+        return F.slice(F.col(f"lines.{record}"), 1, LANDED_LIMITS[limit])
 
     return orders.select(
         _repo("o_orderkey").alias("repo"),
@@ -343,9 +349,9 @@ def raw_pull_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         (k % 500).alias("additions"),
         (k % 77).alias("deletions"),
         F.nullif(k % 9, F.lit(0)).alias("changedFiles"),
-        _nodes(F.transform(first("review_requests"), request)).alias("reviewRequests"),
-        _nodes(F.transform(first("reviews"), review)).alias("reviews"),
-        _nodes(F.transform(first("review_threads"), thread)).alias("reviewThreads"),
+        _nodes(first("request", "review_requests")).alias("reviewRequests"),
+        _nodes(first("review", "reviews")).alias("reviews"),
+        _nodes(first("thread", "review_threads")).alias("reviewThreads"),
     )
 
 
@@ -375,13 +381,7 @@ def raw_ci_runs(events: DataFrame) -> DataFrame:
 
 
 def raw_ci_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = top_k(
-        read(spark, sf_dir, "lineitem"),
-        ["l_orderkey"],
-        [F.asc(c) for c in LINE_ORDER],
-        LANDED_LIMITS["run_jobs"],
-        "pos",
-    )
+    lines = _first_lines(spark, sf_dir, "run_jobs")
     flag = F.col("l_returnflag")
     ln = F.col("l_linenumber")
 
