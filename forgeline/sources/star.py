@@ -165,7 +165,9 @@ def _order_lines(spark: SparkSession, sf_dir: str, limit: str, **records: Column
         "l_orderkey", "pos", *[column.alias(name) for name, column in records.items()]
     )
     nested = nest(built, ["l_orderkey"], F.struct(*records), "pos", "lines")
-    return totals.join(nested, "l_orderkey").withColumnRenamed("l_orderkey", "o_orderkey")
+    # Orders and their lines are both large: joined by sorting, never by broadcast.
+    lines = totals.join(nested, "l_orderkey").withColumnRenamed("l_orderkey", "o_orderkey")
+    return lines.hint("merge")
 
 
 def _nodes(values: Column) -> Column:
@@ -319,7 +321,7 @@ def raw_pull_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _order_lines(
         spark, sf_dir, "reviews", request=_request(line), review=_review(line), thread=_review_thread(line)
     )
-    orders = read(spark, sf_dir, "orders").join(lines.select("o_orderkey", "lines"), "o_orderkey", "left")
+    orders = read(spark, sf_dir, "orders").join(lines, "o_orderkey", "left")
     number = F.expr("o_orderkey div 3")
     status = F.col("o_orderstatus")
     body = (
