@@ -2,7 +2,7 @@
 
 BENCH_SF_DIR   data folder, default /root/testdata/sf0.1
 BENCH_CPUS     local cores, default 8
-BENCH_RUNS     timed runs per query, default 3 (the median counts)
+BENCH_RUNS     timed runs per query after one warm-up, default 2 (the median counts)
 """
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     spark = local_session(cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8)
 
     def once(name: str) -> float:
