@@ -399,7 +399,7 @@ def encode_texts(bpe: ByteBpe, column: pa.Array) -> Iterator[tuple[int, np.ndarr
         ids, count = bpe.encode(part, cut)
         if b - a == 1 and bounds[b] - bounds[a] > 2 * SLICE_BYTES:
             held.append(ids)
-            if sum(map(len, held)) and _is_last(part, data[bounds[a] : bounds[b]]):
+            if sum(map(len, held)) and is_last(part, data[bounds[a] : bounds[b]]):
                 whole = np.concatenate(held)
                 held = []
                 yield a, whole, np.array([len(whole)])
@@ -407,5 +407,5 @@ def encode_texts(bpe: ByteBpe, column: pa.Array) -> Iterator[tuple[int, np.ndarr
             yield a, ids, count
 
 
-def _is_last(part: np.ndarray, whole: np.ndarray) -> bool:
+def is_last(part: np.ndarray, whole: np.ndarray) -> bool:
     return part.ctypes.data + len(part) == whole.ctypes.data + len(whole)

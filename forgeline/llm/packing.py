@@ -119,7 +119,7 @@ def fractional(lengths: np.ndarray, need: np.ndarray, size: int, rounds: int, ra
             break
         for copies in best_patterns(lengths, lengths / size * np.exp(-share / rate), size, columns):
             used = copies > 0
-            times = max(1.0, rate * float((need[used] / copies[used]).min()))
+            times = rate * float((need[used] / copies[used]).min())
             uses[tuple(copies.tolist())] += times
             covered += copies * times
     return np.array(list(uses), np.int64), np.array(list(uses.values()))
