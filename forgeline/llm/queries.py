@@ -3,18 +3,31 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from forgeline.llm import chunk_bpe, ngram_join, packing, quality_rules, token_counts
+from forgeline.llm import chunk_bpe, ngram_join, packing, quality_ranking, quality_rules, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver did, whatever their folder."""
+    root = str(Path(__file__).resolve().parents[2])
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(":"):
+        spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{known}".rstrip(":")
+
+
 def query(build: Query) -> Query:
-    QUERIES[build.__name__] = build
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        importable(spark)
+        return build(spark, sf_dir)
+
+    QUERIES[build.__name__] = run
     return build
 
 
@@ -32,6 +45,11 @@ def op2_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_bpe.encode(table(spark, sf_dir, "documents"), digests=True)
 
 
+@query
+def op3_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_ranking.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(table(spark, sf_dir, "documents"))
