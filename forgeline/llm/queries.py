@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forgeline.llm import chunk_bpe, ngram_join, packing, quality_ranking, quality_rules, token_counts, top_k
+from forgeline.llm import chunk_bpe, ngram_join, packing, quality_ranking, quality_rules, token_counts, top_k, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,6 +51,25 @@ def op3_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_ranking.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("offset")
+
+
+ORACLES["op4_warc"] = """
+WITH sized AS (
+    SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+    FROM pages
+), kept AS (
+    SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS keeper FROM sized
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> keeper THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> keeper THEN keeper END AS refers_to
+FROM kept
+"""
+
+
 @query
 def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
