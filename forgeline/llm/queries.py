@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forgeline.llm import chunk_bpe, ngram_join, packing, quality_ranking, quality_rules, token_counts, top_k, warc
+from forgeline.llm import chunk_bpe, licenses, ngram_join, packing, quality_ranking, quality_rules, token_counts, top_k, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -93,6 +93,15 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
 
+@query
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs.withColumn("path", F.concat_ws("/", "source", "lang", "doc_id")))
+
+
+ORACLES["op6_licenses"] = licenses.oracle_sql()
+
+
 @query
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(table(spark, sf_dir, "documents"))
