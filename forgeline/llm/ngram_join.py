@@ -195,16 +195,15 @@ def adaptive_index(shared: DataFrame, percent: int) -> tuple[DataFrame, DataFram
     late = F.filter(
         F.transform("places", lambda x, i: F.when(x - i >= F.col("base"), i)), lambda i: i.isNotNull()
     )
-    grown = (
+    grown = settle(
         shared.filter(F.col("df") > FREQUENT)
         .groupBy("cid", "n")
         .agg(places.alias("places"))
         .withColumn("base", base)
         .withColumn("extra", F.coalesce(F.get(late, F.lit(0)), F.size("places")))
-        .select("cid", F.col("base") + F.col("extra").alias("prefix"), (F.col("extra") > EXTRA).alias("heavy"))
-        .toDF("cid", "prefix", "heavy")
+        .select("cid", (F.col("base") + F.col("extra")).alias("prefix"), (F.col("extra") > EXTRA).alias("heavy")),
+        "prefixes",
     )
-    grown = settle(grown.withColumn("heavy", F.col("heavy")), "prefixes")
     rows = (
         shared.filter(F.col("df") <= FREQUENT)
         .join(grown, "cid", "left")
@@ -347,3 +346,34 @@ def near_duplicates(
             key, "n_shingles", F.when(F.col("n_shingles") == 0, F.col(key)).cast(docs.schema[key].dataType)
         )
     )
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """The documents without near duplicates: of each component the one with the least key stays.
+
+    Documents without words, and those with a null key, stay. Rows that repeat key and text count as
+    copies; where a repeated key has several texts, all stay if one does. Only documents whose
+    key falls in a slot of a removed or repeated one (``SLOTS`` slots at most are broadcast) are
+    shuffled; the others pass where they are read.
+    """
+    found = near_duplicates(docs, key, text, words, percent).filter(F.col(key).isNotNull())
+    verdict = found.groupBy(F.col(key).alias("rep")).agg(
+        F.max(F.col(key) == F.col("component_id")).alias("stays"), F.count("*").alias("rows")
+    )
+    suspect = settle(verdict.filter(~F.col("stays") | (F.col("rows") > 1)), "near-duplicates")
+    slot = F.pmod(F.xxhash64("rep"), F.lit(SLOTS))
+    slots = F.broadcast(suspect.select(slot.alias("_slot")).distinct())
+    own = F.pmod(F.xxhash64(key), F.lit(SLOTS))
+    slotted = docs.withColumn("_slot", own)
+    clear = slotted.filter(F.col(key).isNull()).unionByName(
+        slotted.filter(F.col(key).isNotNull()).join(slots, "_slot", "left_anti").select(*slotted.columns)
+    )
+    unclear = (
+        slotted.filter(F.col(key).isNotNull())
+        .join(slots, "_slot", "left_semi")
+        .join(suspect, F.col(key) == F.col("rep"), "left")
+        .filter(F.coalesce("stays", F.lit(True)))
+    )
+    single = unclear.filter(F.col("rows").isNull())
+    repeated = unclear.filter(F.col("rows").isNotNull()).dropDuplicates([key, text])
+    return clear.select(*docs.columns).unionByName(single.unionByName(repeated).select(*docs.columns))
