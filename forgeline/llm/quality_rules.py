@@ -231,4 +231,6 @@ def keep(docs: DataFrame, text: str = "text") -> DataFrame:
     measured = with_measures(docs, text).select(
         "row", "n_words", "n_repeat_words", *votes()
     )
-    return judged(measured, estimated).filter("kept").select("row.*")
+    # Through a generator the filter isn't pushed down, which would measure every text many times.
+    verdict = judged(measured, estimated).select(F.explode(F.array(F.struct("row", "kept"))).alias("judged"))
+    return verdict.filter("judged.kept").select("judged.row.*")
