@@ -188,7 +188,7 @@ def search(
             )
             for b, (_, longest) in sorted(stats.items())
         ]
-    )
+    ).cast("array<array<bigint>>")
     left = queries.withColumn("block", F.explode(F.flatten(F.filter(reach, lambda x: x.isNotNull())))).withColumn(
         "part", F.pmod(F.xxhash64("uid"), F.lit(q_blocks))
     )
