@@ -97,7 +97,7 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo, login ORDER BY co
 
 VIEWS["v_experts"] = """
 SELECT * FROM (SELECT repo, login, path, commits,
-  row_number() OVER (PARTITION BY repo, path ORDER BY commits DESC, login) AS rank FROM v_top) WHERE rank <= 5"""
+  row_number() OVER (PARTITION BY repo, path ORDER BY commits DESC, login) AS rank FROM v_expertise) WHERE rank <= 5"""
 
 VIEWS["v_latest"] = """
 SELECT repo, path AS file, last.login AS login FROM (
@@ -139,8 +139,7 @@ SELECT *, {_refs("body", *DUP)} AS dup, {_refs("body", *REL)} AS rel FROM (
     repeat('text ', CAST(l_quantity AS INTEGER)) || CASE l_linenumber
       WHEN 3 THEN 'duplicate of #' || (l_partkey % 1000)
       WHEN 5 THEN 'similar to #' || (l_partkey % 1000) ELSE '' END AS body
-  FROM v_lines WHERE pos <= 50)
-WHERE length(body) >= 100"""
+  FROM v_lines)"""
 
 VIEWS["v_comment_refs"] = """
 SELECT k, flatten(list(dup ORDER BY pos)) AS dup, flatten(list(rel ORDER BY pos)) AS rel, count(*) AS n
@@ -153,7 +152,7 @@ SELECT l_orderkey AS k, pos, ship_us AS us, supplier,
   CASE WHEN l_suppkey % 10 <> 0 THEN l_partkey END AS ref_number,
   CASE WHEN l_suppkey % 10 <> 0 THEN 'ref ' || l_partkey END AS ref_title,
   CASE WHEN l_suppkey % 10 = 0 THEN '' WHEN l_linestatus = 'O' THEN 'open' ELSE 'merged' END AS ref_state
-FROM v_lines WHERE pos <= 50"""
+FROM v_lines"""
 
 VIEWS["v_fold"] = """
 SELECT b.k, b.bug_pos, b.bug_us, a.first_assignee FROM (
@@ -195,7 +194,7 @@ VIEWS["v_reviews"] = """
 SELECT l_orderkey AS k, pos, supplier, l_returnflag AS state,
   CASE WHEN l_linenumber <> 6 THEN ship_us END AS us,
   CASE WHEN l_linenumber <> 1 THEN CAST(l_quantity AS INTEGER) ELSE 0 END AS chars
-FROM v_lines WHERE pos <= 50"""
+FROM v_lines"""
 
 VIEWS["v_review_lists"] = """
 SELECT k, min(us) AS first_us,
@@ -207,11 +206,11 @@ VIEWS["v_requests"] = """
 SELECT k, string_agg(who, ',' ORDER BY pos) AS requested FROM (
   SELECT l_orderkey AS k, pos, CASE WHEN l_linenumber % 2 = 1 THEN any_supplier
     WHEN l_linenumber % 4 = 0 THEN 'team' || (l_suppkey % 5) END AS who
-  FROM v_lines WHERE pos <= 20) WHERE who IS NOT NULL GROUP BY k"""
+  FROM v_lines) WHERE who IS NOT NULL GROUP BY k"""
 
 VIEWS["v_inline"] = """
 SELECT l_orderkey AS k, string_agg(coalesce(supplier, '-') || '|p' || l_partkey || '|' || 5 * CAST(l_quantity AS INTEGER), ';' ORDER BY pos) AS inline
-FROM v_lines WHERE pos <= 20 AND l_quantity >= 20 GROUP BY l_orderkey"""
+FROM v_lines GROUP BY l_orderkey"""
 
 VIEWS["v_pulls"] = f"""
 SELECT b.*, {_refs("b.body", CLOSE_NUMBER)} AS closes, coalesce(q.requested, '') AS requested,
@@ -261,7 +260,7 @@ VIEWS["v_failed_jobs"] = """
 SELECT l_orderkey AS run_id, 'job' || l_linenumber || '-' || l_partkey AS job_name,
   array_to_string(list_filter([CASE WHEN l_linestatus = 'O' THEN 'build' END, CASE WHEN l_linenumber % 2 = 0 THEN 'test' END],
     lambda x: x IS NOT NULL), ',') AS steps, ship_us
-FROM v_lines WHERE pos <= 100 AND l_returnflag = 'R'"""
+FROM v_lines WHERE l_returnflag = 'R'"""
 
 VIEWS["v_run_jobs"] = """
 SELECT r.*, coalesce(j.jobs, '') AS failed_jobs, j.first_job, j.first_steps FROM v_runs r LEFT JOIN (
@@ -279,19 +278,17 @@ FROM conversations"""
 
 VIEWS["v_issue_posts"] = """
 SELECT conv_id, repo, 0 AS n, CASE WHEN conv_id % 13 <> 0 THEN role ELSE 'unknown' END AS author, stamp,
-  substr(text, 1, 5000) AS body, false AS is_accepted, 'body' AS role
+  text AS body, false AS is_accepted, 'body' AS role
 FROM v_turns WHERE turn = 0
 UNION ALL
-SELECT conv_id, repo, row_number() OVER (PARTITION BY conv_id ORDER BY turn), role, stamp, substr(text, 1, 5000), false, 'comment'
-FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM v_turns WHERE turn >= 1)
-WHERE p <= 50 AND length(text) >= 100
-QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= 20"""
+SELECT conv_id, repo, row_number() OVER (PARTITION BY conv_id ORDER BY turn), role, stamp, text, false, 'comment'
+FROM v_turns WHERE turn >= 1"""
 
 VIEWS["v_replies"] = "SELECT conv_id, count(*) FILTER (turn >= 1) AS n FROM conversations GROUP BY conv_id"
 
 VIEWS["v_discussion_posts"] = f"""
 WITH placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p FROM v_turns WHERE turn >= 1),
-shown AS (SELECT * FROM placed WHERE p <= 15),
+shown AS (SELECT * FROM placed),
 answer AS (SELECT conv_id, text AS abody, role AS aauthor FROM placed WHERE p = 1 AND conv_id % 3 = 0)
 SELECT conv_id, repo, 0 AS n, CASE WHEN conv_id % 13 <> 0 THEN role ELSE 'unknown' END AS author, stamp, text AS body,
   false AS is_accepted, 'body' AS role
@@ -428,7 +425,7 @@ SELECT c.repo, c.sha, c.message, 'Name ' || c.o_custkey AS author_name, c.o_cust
   {_text("c.refs")} AS closes_issues, c.is_fix_text AS is_bug_fix
 FROM v_commits c LEFT JOIN (
   SELECT k, string_agg(path, ',' ORDER BY path) AS paths, sum(additions)::BIGINT AS additions, sum(deletions)::BIGINT AS deletions
-  FROM v_files WHERE pos <= 300 GROUP BY k) f ON f.k = c.k"""
+  FROM v_files GROUP BY k) f ON f.k = c.k"""
 
 RAW["commit_parent_edges"] = "SELECT repo, sha, md5(CAST(k - 3 AS VARCHAR)) AS parent_sha FROM v_commits WHERE k >= 3"
 
@@ -519,7 +516,7 @@ FROM v_pulls GROUP BY repo HAVING count(first_hours) >= 5"""
 
 def _question(opening: str, alias: str) -> str:
     return (
-        f"'{opening}' || chr(10) || chr(10) || 'Title: ' || {alias}.title || chr(10) || 'Body: ' || substr({alias}.body, 1, 500)"
+        f"'{opening}' || chr(10) || chr(10) || 'Title: ' || {alias}.title || chr(10) || 'Body: ' || {alias}.body"
     )
 
 
@@ -543,7 +540,7 @@ WHERE a.number <> b.number"""
 
 RAW["duplicate_positive_pairs"] = f"""
 SELECT 'Q53' AS question_id, repo, number AS issue_number, 1 AS tier, {_question("Has this bug been reported before?", "p")} AS question,
-  true AS is_duplicate, target, target_title, substr(target_body, 1, 300) AS candidate_body
+  true AS is_duplicate, target, target_title, target_body AS candidate_body
 FROM v_positive p"""
 
 RAW["duplicate_negative_pairs"] = f"""
@@ -586,8 +583,7 @@ FROM v_broken WHERE actor IS NOT NULL"""
 LATEST = "'Who most recently modified this file?' || chr(10) || chr(10) || 'File: ' || file"
 MOST = "'Who has modified this file most frequently?' || chr(10) || chr(10) || 'File: ' || file"
 VIEWS["v_latest_owner"] = """
-SELECT l.* FROM v_latest l WHERE l.login IS NOT NULL
-  AND EXISTS (SELECT 1 FROM v_top t WHERE t.repo = l.repo AND t.path = l.file)"""
+SELECT l.* FROM v_latest l WHERE l.login IS NOT NULL"""
 
 RAW["latest_owner_pairs"] = f"""
 SELECT 'Q18' AS question_id, repo, CAST(NULL AS BIGINT) AS issue_number, 1 AS tier, {LATEST} AS question, login, file AS file_path
@@ -661,7 +657,7 @@ def _literal(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-_BLOCK = "'<thread>' || chr(10) || substr(text, 1, 50000) || chr(10) || '</thread>' || chr(10) || chr(10) || "
+_BLOCK = "'<thread>' || chr(10) || text || chr(10) || '</thread>' || chr(10) || chr(10) || "
 RAW["stage1_prompts"] = (
     f"SELECT repo, source, number, md5({_BLOCK}"
     + _literal(STAGE1_TASK.format(categories=taxonomy.category_list()))
@@ -761,7 +757,7 @@ RAW["migrated_verification"] = "SELECT pair_id, status, note FROM v_state"
 
 def _evidence(body: str, quote: str) -> str:
     squash = r"lower(trim(regexp_replace({}, '\s+', ' ', 'g')))"
-    needle = f"substr({squash.format(quote)}, 1, 100)"
+    needle = squash.format(quote)
     return f"(length({needle}) > 10 AND contains({squash.format(body)}, {needle}))"
 
 

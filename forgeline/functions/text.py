@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-EVIDENCE_CHARS = 100      # Fixed value: characters of a quotation that must match
 EVIDENCE_MIN_CHARS = 10   # Fixed value: quotations up to this length prove nothing
 # A label holding any of these names a priority.
 PRIORITY_WORDS = ("p0", "p1", "p2", "critical", "high", "medium", "low")
@@ -62,9 +61,9 @@ def squash(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
 
 
-def is_evidence(body: Column, quotation: Column) -> Column:
-    """Whether a comment body holds the start of a quotation."""
-    needle = F.substring(squash(quotation), 1, EVIDENCE_CHARS)
+def is_evidence(body: Column, quotation: Column, chars: int | None = None) -> Column:
+    """Whether a comment body holds a quotation, or its first ``chars`` characters."""
+    needle = excerpt(squash(quotation), chars)
     found = (F.char_length(needle) > EVIDENCE_MIN_CHARS) & F.contains(squash(body), needle)
     return F.coalesce(found, F.lit(False))
 
@@ -72,16 +71,17 @@ def is_evidence(body: Column, quotation: Column) -> Column:
 # The five basic entities, ampersand last so that a decoded
 # ampersand can complete another entity only in the next round.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
-ENTITY_ROUNDS = 6
 
 
 def decode_entities(text: Column) -> Column:
-    """Undo repeated escaping of the five basic entities."""
+    """Undo escaping of the five basic entities, however often repeated."""
     out = F.coalesce(text, F.lit(""))
+    # each round undoes one level, and a text has no more levels than escaped ampersands, and one
+    rounds = F.octet_length(out) - F.octet_length(F.replace(out, F.lit("amp;"), F.lit("")))
     # Folding the rounds over an array keeps the expression small: nested
     # replaces would repeat the whole chain for each round.
     return F.aggregate(
-        F.sequence(F.lit(1), F.lit(ENTITY_ROUNDS)),
+        F.sequence(F.lit(0), F.floor(rounds / 4).cast("int")),
         out,
         lambda acc, _: _decode_once(acc),
     )

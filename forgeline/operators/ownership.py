@@ -74,19 +74,19 @@ def top_directories(paths: DataFrame) -> DataFrame:
     return paths.filter(is_shallow(F.col("path")))
 
 
-def path_experts(paths: DataFrame, k: int = 5) -> DataFrame:
-    """The ``k`` authors with most touches per path, among authors who rank the path."""
+def path_experts(expertise: DataFrame, k: int = 5) -> DataFrame:
+    """The ``k`` authors with most touches per path, from :func:`path_expertise`: all who touched it compete."""
     return top_k(
-        paths.select("repo", "login", "path", "commits"),
+        expertise.select("repo", "login", "path", "commits"),
         ["repo", "path"],
         [F.desc("commits"), F.asc("login")],
         k,
     )
 
 
-def file_experts(paths: DataFrame, k: int = 5) -> DataFrame:
+def file_experts(expertise: DataFrame, k: int = 5) -> DataFrame:
     """One row per path with its experts as an array of at most ``k``."""
-    ranked = path_experts(paths, k)
+    ranked = path_experts(expertise, k)
     return nest(ranked, ["repo", "path"], F.struct("login", "commits"), "rank", "experts").select(
         "repo", F.col("path").alias("file"), "experts"
     )

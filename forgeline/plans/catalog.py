@@ -80,6 +80,10 @@ def _runs(spark: SparkSession, sf: str) -> DataFrame:
     return ci.normalise_ci_runs(runs, star.raw_ci_jobs(spark, sf))
 
 
+def _experts(touched: DataFrame) -> DataFrame:
+    return ownership.file_experts(ownership.path_expertise(touched))
+
+
 def _paths(spark: SparkSession, sf: str) -> DataFrame:
     return ownership.top_paths(star.touches(spark, sf))
 
@@ -391,12 +395,12 @@ def top_directories(spark, sf):
 
 @query
 def path_experts(spark, sf):
-    return ownership.path_experts(_paths(spark, sf)).withColumn("rank", F.col("rank").cast("bigint"))
+    return ownership.path_experts(ownership.path_expertise(star.touches(spark, sf))).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query
 def file_experts(spark, sf):
-    return ownership.file_experts(_paths(spark, sf)).select(
+    return _experts(star.touches(spark, sf)).select(
         "repo", "file", _records("experts", lambda e: _join(e["login"], e["commits"])).alias("experts")
     )
 
@@ -541,7 +545,7 @@ def breakage_actor_pairs(spark, sf):
 @query
 def latest_owner_pairs(spark, sf):
     return _flat(
-        qa_pairs.latest_owner(qa_pairs.Tables(paths=_paths(spark, sf), touches=star.touches(spark, sf))),
+        qa_pairs.latest_owner(qa_pairs.Tables(touches=star.touches(spark, sf))),
         login="ground_truth:$.login:string",
         file_path="artifacts_needed:$.file_path:string",
     )
@@ -550,7 +554,7 @@ def latest_owner_pairs(spark, sf):
 @query
 def primary_owner_pairs(spark, sf):
     return _flat(
-        qa_pairs.primary_owner(qa_pairs.Tables(paths=_paths(spark, sf))),
+        qa_pairs.primary_owner(qa_pairs.Tables(experts=_experts(star.touches(spark, sf)))),
         login="ground_truth:$.login:string",
         commit_count="ground_truth:$.commit_count:bigint",
         second="artifacts_needed:$.contributor_profiles[1].login:string",
@@ -578,7 +582,7 @@ def _all_pairs(spark, sf):
         qa_pairs.Tables(
             issues=issue_rows,
             leaders=_leaders(spark, sf, paths),
-            paths=paths,
+            experts=_experts(touched),
             inducing=inducing.inducing_pairs(touched),
             ci_runs=settle(_runs(spark, sf), "ci-runs"),
             touches=touched,

@@ -29,7 +29,7 @@ class Tables:
 
     issues: DataFrame | None = None
     leaders: DataFrame | None = None        # top_profiles: one row per repo
-    paths: DataFrame | None = None          # ownership.top_paths
+    experts: DataFrame | None = None        # ownership.file_experts
     inducing: DataFrame | None = None       # inducing.inducing_pairs
     ci_runs: DataFrame | None = None
     touches: DataFrame | None = None        # commits.touches
@@ -179,7 +179,9 @@ def top_profiles(totals: DataFrame, paths: DataFrame, settings: Settings = Setti
     leaders = contributors.most_active(totals, settings.profiles_per_assignment).select(
         "repo", "login", "total_commits", F.col("rank").alias("place")
     )
-    shown = paths.filter(F.col("rank") <= settings.files_per_profile)
+    shown = paths
+    if settings.files_per_profile is not None:
+        shown = paths.filter(F.col("rank") <= settings.files_per_profile)
     files = ranking.nest(
         shown, ["repo", "login"], F.struct(F.col("path").alias("file"), "commits"), "rank", "top_files"
     )
@@ -281,11 +283,8 @@ def breakage_actor(t: Tables, settings: Settings = Settings()) -> DataFrame:
 
 
 def latest_owner(t: Tables, settings: Settings = Settings()) -> DataFrame:
-    """Q18: last modifier of each path that has experts; directories have none."""
-    experts = t.paths.select("repo", F.col("path").alias("file")).distinct()
-    found = experts.join(
-        ownership.latest_modifier(t.touches).filter(present(F.col("login"))), ["repo", "file"]
-    )
+    """Q18: last modifier of each file."""
+    found = ownership.latest_modifier(t.touches).filter(present(F.col("login")))
     artifacts = F.struct(F.col("file").alias("file_path"), _nothing("string").alias("recent_commits"))
     return _pair(
         found, "Q18", F.concat(F.lit(ASK_LATEST), "file"), F.struct("login"), artifacts, 1
@@ -294,11 +293,10 @@ def latest_owner(t: Tables, settings: Settings = Settings()) -> DataFrame:
 
 def primary_owner(t: Tables, settings: Settings = Settings()) -> DataFrame:
     """Q19: most frequent modifier of each path, directories included."""
-    experts = ownership.file_experts(t.paths, settings.experts_per_path)
     first = F.get("experts", 0)
     truth = F.struct(first["login"].alias("login"), first["commits"].alias("commit_count"))
     artifacts = F.struct(F.col("file").alias("file_path"), F.col("experts").alias("contributor_profiles"))
-    return _pair(experts, "Q19", F.concat(F.lit(ASK_MOST), "file"), truth, artifacts, 1)
+    return _pair(t.experts, "Q19", F.concat(F.lit(ASK_MOST), "file"), truth, artifacts, 1)
 
 
 def review_time_medians(pull_requests: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -311,15 +309,12 @@ def review_time_medians(pull_requests: DataFrame, settings: Settings = Settings(
 
 def review_time(t: Tables, settings: Settings = Settings()) -> DataFrame:
     """Q50: median hours to first review per repo."""
-    shown = ranking.top_k(
-        t.pull_requests.filter("hours_to_first_review IS NOT NULL").select(
-            "repo", "number", "hours_to_first_review"
-        ),
-        ["repo"],
-        [F.asc("number")],
-        settings.review_samples_shown,
+    waits = t.pull_requests.filter("hours_to_first_review IS NOT NULL").select(
+        "repo", "number", "hours_to_first_review"
     )
-    history = ranking.nest(shown, ["repo"], F.col("hours_to_first_review"), "rank", "pr_review_history")
+    if settings.review_samples_shown is not None:
+        waits = ranking.top_k(waits, ["repo"], [F.asc("number")], settings.review_samples_shown)
+    history = ranking.nest(waits, ["repo"], F.col("hours_to_first_review"), "number", "pr_review_history")
     found = review_time_medians(t.pull_requests, settings).join(history, "repo")
     truth = F.struct(F.round("median", 1).alias("median_hours_to_first_review"), "sample_size")
     question = F.concat(F.lit(ASK_REVIEW_TIME), "repo", F.lit("?"))

@@ -57,7 +57,8 @@ def mine(
         )
     )
     save("contributors", contributors.profiles(totals, paths))
-    save("file_experts", ownership.file_experts(paths, settings.experts_per_path))
+    expertise = ownership.path_expertise(touched)
+    save("file_experts", ownership.file_experts(expertise, settings.experts_per_path))
 
 
 def stored_inputs(
@@ -74,7 +75,7 @@ def stored_inputs(
     return qa_pairs.Tables(
         issues=table("issues"),
         leaders=leaders,
-        paths=paths,
+        experts=table("file_experts"),
         inducing=table("szz_pairs"),
         ci_runs=table("ci_runs"),
         touches=commits.touches(table("commits")),

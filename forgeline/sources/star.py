@@ -4,20 +4,16 @@ Lets every job run over warehouse tables that hold no repository records: orders
 act as commits, issues and pull requests, order lines as files, comments, reviews
 and timeline events, events as CI runs, conversations as threads. The results have
 the landed (raw) shapes of :mod:`forgeline.schemas`, so the same operators apply.
-
-Lists nested in a record keep as many entries as one request to the hosting
-service returns (``LANDED_LIMITS``); totals count all.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from forgeline.functions.refs import commit_refs, is_bug_fix
 from forgeline.functions.times import format_iso
-from forgeline.operators.ranking import nest, top_k
-from forgeline.settings import LANDED_LIMITS
+from forgeline.operators.ranking import nest
 
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice"]
 
@@ -94,6 +90,7 @@ def commit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         _customer().alias("author_login"),
         F.col("o_orderdate").cast("timestamp").alias("committed_at"),
         "o_orderkey",
+        "o_custkey",
     ).withColumns(
         {"closes_issues": commit_refs(F.col("message"))}
     ).withColumn("is_bug_fix", is_bug_fix(F.col("message"), F.col("closes_issues")))
@@ -122,11 +119,9 @@ def raw_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .join(part, "l_partkey")
     )
-    first = top_k(files, ["l_orderkey"], [F.asc("filename")], LANDED_LIMITS["commit_files"])
-    nested = nest(first, ["l_orderkey"], F.struct("filename", "additions", "deletions"), "rank", "files")
-    commits = commit_rows(spark, sf_dir).join(
-        read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey"
-    )
+    listed = F.array_sort(F.collect_list(F.struct("filename", "additions", "deletions")))
+    nested = files.groupBy("l_orderkey").agg(listed.alias("files"))
+    commits = commit_rows(spark, sf_dir)
     joined = commits.join(nested.withColumnRenamed("l_orderkey", "o_orderkey"), "o_orderkey", "left")
     k = F.col("o_orderkey")
     return joined.select(
@@ -153,15 +148,15 @@ def _line() -> dict[str, Column]:
     return {c: F.col(c) for c in (*LINE_ORDER, "l_orderkey", "l_returnflag", "l_linestatus", "pos")}
 
 
-def _order_lines(spark: SparkSession, sf_dir: str, limit: str, **records: Column) -> DataFrame:
-    """Per order: number of lines, last ship date, and an array per record of its first lines.
+def _order_lines(spark: SparkSession, sf_dir: str, **records: Column) -> DataFrame:
+    """Per order: number of lines, last ship date, and an array per record of its lines.
 
     Records are built on flat rows, in generated code, before they are collected.
     """
     totals = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
         F.count(F.lit(1)).alias("n_lines"), F.max("l_shipdate").alias("last_ship")
     )
-    built = _first_lines(spark, sf_dir, limit).select(
+    built = _placed_lines(spark, sf_dir).select(
         "l_orderkey", "pos", *[column.alias(name) for name, column in records.items()]
     )
     nested = nest(built, ["l_orderkey"], F.struct(*records), "pos", "lines")
@@ -199,28 +194,25 @@ def issue_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _first_lines(spark: SparkSession, sf_dir: str, limit: str) -> DataFrame:
-    order = [F.asc(c) for c in LINE_ORDER]
-    return top_k(read(spark, sf_dir, "lineitem"), ["l_orderkey"], order, LANDED_LIMITS[limit], "pos")
+def _placed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines with their place in the order."""
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*[F.asc(c) for c in LINE_ORDER]))
+    return read(spark, sf_dir, "lineitem").withColumn("pos", place)
 
 
-def comment_people(spark: SparkSession, sf_dir: str, min_chars: int = 100) -> DataFrame:
-    """(repo, login) per issue comment long enough to be kept."""
-    line = F.struct("l_linenumber", "l_partkey", "l_quantity", "l_suppkey")
-    rows = _first_lines(spark, sf_dir, "issue_comments").select("l_orderkey", line.alias("line"))
-    return rows.filter(F.char_length(_comment_body(F.col("line"))) >= min_chars).select(
-        _repo("l_orderkey").alias("repo"), _supplier(F.col("line")).alias("login")
+def comment_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repo, login) per issue comment."""
+    return read(spark, sf_dir, "lineitem").select(
+        _repo("l_orderkey").alias("repo"), _supplier({"l_suppkey": F.col("l_suppkey")}).alias("login")
     )
 
 
 def review_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(repo, author, reviewer) per review."""
-    lines = _first_lines(spark, sf_dir, "reviews").select(
-        F.col("l_orderkey").alias("o_orderkey"), F.struct("l_suppkey").alias("line")
-    )
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_suppkey")
     authors = read(spark, sf_dir, "orders").select("o_orderkey", _customer().alias("author"))
     return lines.join(authors, "o_orderkey").select(
-        _repo("o_orderkey").alias("repo"), "author", _supplier(F.col("line")).alias("reviewer")
+        _repo("o_orderkey").alias("repo"), "author", _supplier({"l_suppkey": F.col("l_suppkey")}).alias("reviewer")
     )
 
 
@@ -258,7 +250,7 @@ def _event(line: dict[str, Column]) -> Column:
 
 def raw_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    lines = _order_lines(spark, sf_dir, "timeline", comment=_comment(_line()), event=_event(_line()))
+    lines = _order_lines(spark, sf_dir, comment=_comment(_line()), event=_event(_line()))
     orders = read(spark, sf_dir, "orders").join(lines, "o_orderkey", "left")
     number = F.expr("o_orderkey div 3")
     body = (
@@ -319,7 +311,7 @@ def raw_pull_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     line = _line()
     lines = _order_lines(
-        spark, sf_dir, "reviews", request=_request(line), review=_review(line), thread=_review_thread(line)
+        spark, sf_dir, request=_request(line), review=_review(line), thread=_review_thread(line)
     )
     orders = read(spark, sf_dir, "orders").join(lines, "o_orderkey", "left")
     number = F.expr("o_orderkey div 3")
@@ -334,9 +326,6 @@ def raw_pull_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     def after_hours(hours: Column) -> Column:
         return format_iso(F.timestamp_micros(F.unix_micros(ordered) + hours.cast("bigint") * 3_600_000_000))
 
-    def first(record: str, limit: str) -> Column:
-        return F.slice(F.col(f"lines.{record}"), 1, LANDED_LIMITS[limit])
-
     return orders.select(
         _repo("o_orderkey").alias("repo"),
         number.alias("number"),
@@ -351,9 +340,9 @@ def raw_pull_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         (k % 500).alias("additions"),
         (k % 77).alias("deletions"),
         F.nullif(k % 9, F.lit(0)).alias("changedFiles"),
-        _nodes(first("request", "review_requests")).alias("reviewRequests"),
-        _nodes(first("review", "reviews")).alias("reviews"),
-        _nodes(first("thread", "review_threads")).alias("reviewThreads"),
+        _nodes(F.col("lines.request")).alias("reviewRequests"),
+        _nodes(F.col("lines.review")).alias("reviews"),
+        _nodes(F.col("lines.thread")).alias("reviewThreads"),
     )
 
 
@@ -383,7 +372,7 @@ def raw_ci_runs(events: DataFrame) -> DataFrame:
 
 
 def raw_ci_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _first_lines(spark, sf_dir, "run_jobs")
+    lines = read(spark, sf_dir, "lineitem")
     flag = F.col("l_returnflag")
     ln = F.col("l_linenumber")
 
@@ -406,17 +395,18 @@ def _conversation_time(minutes: Column) -> Column:
     return format_iso(F.timestamp_seconds(F.lit(start) + F.col("conv_id") * 3600 + minutes * 60))
 
 
-def _conversations(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
-    """Per conversation: opening turn, reply count, first replies as an array."""
+def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per conversation: opening turn, reply count, replies as an array."""
     turns = read(spark, sf_dir, "conversations")
     opening = turns.filter("turn = 0").select(
         "conv_id", F.col("text").alias("opening_text"), F.col("role").alias("opening_role")
     )
     replies = turns.filter("turn >= 1")
-    totals = replies.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_replies"))
-    first = top_k(replies, ["conv_id"], [F.asc("turn")], limit, "pos")
-    nested = nest(first, ["conv_id"], F.struct("turn", "role", "text"), "pos", "replies")
-    return opening.join(totals, "conv_id", "left").join(nested, "conv_id", "left")
+    nested = replies.groupBy("conv_id").agg(
+        F.count(F.lit(1)).alias("n_replies"),
+        F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("replies"),
+    )
+    return opening.join(nested, "conv_id", "left")
 
 
 def _reply_time(turn: Column) -> Column:
@@ -435,7 +425,7 @@ def conversation_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
             _reply_time(r["turn"]).alias("createdAt"),
         )
 
-    return _conversations(spark, sf_dir, LANDED_LIMITS["issue_comments"]).select(
+    return _conversations(spark, sf_dir).select(
         _repo("conv_id").alias("repo"),
         c.alias("number"),
         _text("Conversation ", c).alias("title"),
@@ -473,7 +463,7 @@ def conversation_discussions(spark: SparkSession, sf_dir: str) -> DataFrame:
         _conversation_time(F.lit(90)).alias("createdAt"),
         _login(F.lit("helper")).alias("author"),
     )
-    return _conversations(spark, sf_dir, LANDED_LIMITS["discussion_comments"]).select(
+    return _conversations(spark, sf_dir).select(
         _repo("conv_id").alias("repo"),
         c.alias("number"),
         _text("Conversation ", c).alias("title"),
