@@ -731,6 +731,8 @@ SELECT pair_id, question_text, title, status, note FROM v_queue WHERE repo = 'ac
 RAW["review_page"] = """
 SELECT pair_id, number, confidence FROM v_queue WHERE status = 'pending'
 ORDER BY repo, source, number, question_id LIMIT 20 OFFSET 20"""
+RAW["review_page_total"] = """
+SELECT count(*) AS total, CAST(ceil(count(*) / 20.0) AS BIGINT) AS pages FROM v_queue WHERE status = 'pending'"""
 RAW["review_next_page"] = """
 SELECT pair_id, number, confidence FROM v_queue WHERE status = 'pending'
   AND (repo > 'acme/r0' OR repo = 'acme/r0' AND source = 'issue' AND (number > 30000 OR number = 30000 AND question_id > 'Q1'))

@@ -7,93 +7,93 @@ from pyspark.sql import functions as F
 
 NO_QUESTION = "NONE"
 
-# Categories with their name and their first and last question number.
+# Category names.
 CATEGORIES = {
-    "A": ("People & Awareness", 1, 7),
-    "B": ("Code Changes", 8, 27),
-    "C": ("Work Item Progress", 28, 31),
-    "D": ("Broken Builds", 32, 35),
-    "E": ("Test Cases", 36, 37),
-    "F": ("Pull Requests", 47, 52),
-    "G": ("Bug Management", 53, 60),
-    "H": ("CI/CD", 61, 64),
-    "I": ("Security & Quality", 65, 68),
-    "J": ("Onboarding", 69, 72),
-    "K": ("Cross-Artifact Synthesis", 73, 78),
+    "A": "People & Awareness",
+    "B": "Code Changes",
+    "C": "Work Item Progress",
+    "D": "Broken Builds",
+    "E": "Test Cases",
+    "F": "Pull Requests",
+    "G": "Bug Management",
+    "H": "CI/CD",
+    "I": "Security & Quality",
+    "J": "Onboarding",
+    "K": "Cross-Artifact Synthesis",
 }
 
-# Question descriptions by question number.
-DESCRIPTIONS = """
-1 Who is currently working on a task or feature
-2 What a specific coworker is working on right now
-3 How much work a person has contributed
-4 Who made a specific code change (person-focused)
-5 Who has the knowledge to do a code review
-6 What a person or team has been working on recently
-7 Which code reviews are assigned to a specific person
-8 How a piece of code has evolved over time
-9 Why a specific change was introduced
-10 Who made a change and why
-11 Which classes or files a team has been editing
-12 What changed in recently resolved work items related to someone
-13 Who else is working on the same files
-14 What changed between two builds and who changed it
-15 Who has modified a specific file or class
-16 Who is using an API that is about to change
-17 Who originally created a specific API or component
-18 Who most recently modified a file (latest owner)
-19 Who has modified a file most frequently (primary owner)
-20 Who to contact about an unfamiliar part of the codebase
-21 Which files or classes have changed recently
-22 Which API methods have been added, changed, or removed
-23 Which file or class has changed most frequently
-24 Which code the asker worked on uses a specific pattern
-25 Which code related to the asker has changed recently
-26 How recent changes affect something the asker is building
-27 What code is related to or affected by a specific change
-28 What recent activity has happened on a specific issue
-29 Which features or functions have been actively changing
-30 Whether blocking issues in a milestone have been resolved
-31 Whether work is progressing on planned items
-32 What change or commit caused a build or test to fail
-33 Who is responsible for breaking a build
-34 Who most recently changed a failing test
-35 Which specific changes caused test failures
-36 Who owns or is responsible for a specific test
-37 How tests relate to specific packages or classes
-47 Who should review a specific PR
-48 Why a PR was merged or rejected
-49 Which PRs are blocking an issue from being resolved
-50 How long PR review typically takes in an area
-51 Which PRs have been waiting longest without review
-52 Which bugs a PR is likely to fix
-53 Whether a bug has been reported before (duplicate detection)
-54 Who should be assigned to triage or fix a bug
-55 Which file or component is responsible for a bug
-56 Which commit introduced a regression
-57 The severity or priority of a bug relative to others
-58 Which bugs are related without being duplicates
-59 How long bugs in an area typically take to fix
-60 The full history and lifecycle of a bug
-61 Whether a test failure is flaky or a real regression
-62 Which CI stage or step is the bottleneck
-63 How often a component causes build failures
-64 Which contributor's changes most frequently break CI
-65 Whether a change introduces a known vulnerability
-66 Which dependencies have known vulnerabilities
-67 Which parts of the codebase have low test coverage
-68 Whether a patch follows security or style conventions
-69 Where to start contributing to a specific component
-70 What the unwritten conventions of the codebase are
-71 Which issues are suitable for new contributors
-72 What the contribution workflow looks like end to end
-73 Given a stack trace, which recent commits are suspicious
-74 Which developer has the most context on a specific bug
-75 Which open bugs are likely to recur based on patterns
-76 Why a PR was reverted given the full project context
-77 Which changes historically co-occur with bugs in an area
-78 What the blast radius of a change to a file would be
-"""
+# Category, question id and description.
+QUESTIONS = (
+    ("A", "Q1", "Who is currently working on a task or feature"),
+    ("A", "Q2", "What a specific coworker is working on right now"),
+    ("A", "Q3", "How much work a person has contributed"),
+    ("A", "Q4", "Who made a specific code change (person-focused)"),
+    ("A", "Q5", "Who has the knowledge to do a code review"),
+    ("A", "Q6", "What a person or team has been working on recently"),
+    ("A", "Q7", "Which code reviews are assigned to a specific person"),
+    ("B", "Q8", "How a piece of code has evolved over time"),
+    ("B", "Q9", "Why a specific change was introduced"),
+    ("B", "Q10", "Who made a change and why"),
+    ("B", "Q11", "Which classes or files a team has been editing"),
+    ("B", "Q12", "What changed in recently resolved work items related to someone"),
+    ("B", "Q13", "Who else is working on the same files"),
+    ("B", "Q14", "What changed between two builds and who changed it"),
+    ("B", "Q15", "Who has modified a specific file or class"),
+    ("B", "Q16", "Who is using an API that is about to change"),
+    ("B", "Q17", "Who originally created a specific API or component"),
+    ("B", "Q18", "Who most recently modified a file (latest owner)"),
+    ("B", "Q19", "Who has modified a file most frequently (primary owner)"),
+    ("B", "Q20", "Who to contact about an unfamiliar part of the codebase"),
+    ("B", "Q21", "Which files or classes have changed recently"),
+    ("B", "Q22", "Which API methods have been added, changed, or removed"),
+    ("B", "Q23", "Which file or class has changed most frequently"),
+    ("B", "Q24", "Which code the asker worked on uses a specific pattern"),
+    ("B", "Q25", "Which code related to the asker has changed recently"),
+    ("B", "Q26", "How recent changes affect something the asker is building"),
+    ("B", "Q27", "What code is related to or affected by a specific change"),
+    ("C", "Q28", "What recent activity has happened on a specific issue"),
+    ("C", "Q29", "Which features or functions have been actively changing"),
+    ("C", "Q30", "Whether blocking issues in a milestone have been resolved"),
+    ("C", "Q31", "Whether work is progressing on planned items"),
+    ("D", "Q32", "What change or commit caused a build or test to fail"),
+    ("D", "Q33", "Who is responsible for breaking a build"),
+    ("D", "Q34", "Who most recently changed a failing test"),
+    ("D", "Q35", "Which specific changes caused test failures"),
+    ("E", "Q36", "Who owns or is responsible for a specific test"),
+    ("E", "Q37", "How tests relate to specific packages or classes"),
+    ("F", "Q47", "Who should review a specific PR"),
+    ("F", "Q48", "Why a PR was merged or rejected"),
+    ("F", "Q49", "Which PRs are blocking an issue from being resolved"),
+    ("F", "Q50", "How long PR review typically takes in an area"),
+    ("F", "Q51", "Which PRs have been waiting longest without review"),
+    ("F", "Q52", "Which bugs a PR is likely to fix"),
+    ("G", "Q53", "Whether a bug has been reported before (duplicate detection)"),
+    ("G", "Q54", "Who should be assigned to triage or fix a bug"),
+    ("G", "Q55", "Which file or component is responsible for a bug"),
+    ("G", "Q56", "Which commit introduced a regression"),
+    ("G", "Q57", "The severity or priority of a bug relative to others"),
+    ("G", "Q58", "Which bugs are related without being duplicates"),
+    ("G", "Q59", "How long bugs in an area typically take to fix"),
+    ("G", "Q60", "The full history and lifecycle of a bug"),
+    ("H", "Q61", "Whether a test failure is flaky or a real regression"),
+    ("H", "Q62", "Which CI stage or step is the bottleneck"),
+    ("H", "Q63", "How often a component causes build failures"),
+    ("H", "Q64", "Which contributor's changes most frequently break CI"),
+    ("I", "Q65", "Whether a change introduces a known vulnerability"),
+    ("I", "Q66", "Which dependencies have known vulnerabilities"),
+    ("I", "Q67", "Which parts of the codebase have low test coverage"),
+    ("I", "Q68", "Whether a patch follows security or style conventions"),
+    ("J", "Q69", "Where to start contributing to a specific component"),
+    ("J", "Q70", "What the unwritten conventions of the codebase are"),
+    ("J", "Q71", "Which issues are suitable for new contributors"),
+    ("J", "Q72", "What the contribution workflow looks like end to end"),
+    ("K", "Q73", "Given a stack trace, which recent commits are suspicious"),
+    ("K", "Q74", "Which developer has the most context on a specific bug"),
+    ("K", "Q75", "Which open bugs are likely to recur based on patterns"),
+    ("K", "Q76", "Why a PR was reverted given the full project context"),
+    ("K", "Q77", "Which changes historically co-occur with bugs in an area"),
+    ("K", "Q78", "What the blast radius of a change to a file would be"),
+)
 
 # Fixed value: description of the answer "no question matches".
 NO_QUESTION_DESCRIPTION = "Does not contain a matching question"
@@ -103,23 +103,16 @@ RETIRED = range(38, 47)
 
 def questions() -> dict[str, str]:
     """Question id to description, ending with NONE."""
-    rows = (line.split(" ", 1) for line in DESCRIPTIONS.strip().splitlines())
-    return {f"Q{number}": text for number, text in rows} | {NO_QUESTION: NO_QUESTION_DESCRIPTION}
+    return {qid: text for _, qid, text in QUESTIONS} | {NO_QUESTION: NO_QUESTION_DESCRIPTION}
 
 
 def category_questions(key: str) -> list[str]:
-    _, first, last = CATEGORIES[key]
-    return [f"Q{n}" for n in range(first, last + 1)]
+    return [qid for category, qid, _ in QUESTIONS if category == key]
 
 
 def question_dimension(spark: SparkSession) -> DataFrame:
     """(category, category_name, question_id, description, active): 79 rows."""
-    text = questions()
-    rows = [
-        (key, name, qid, text[qid], True)
-        for key, (name, _, _) in CATEGORIES.items()
-        for qid in category_questions(key)
-    ]
+    rows = [(key, CATEGORIES[key], qid, text, True) for key, qid, text in QUESTIONS]
     rows.append((None, None, NO_QUESTION, NO_QUESTION_DESCRIPTION, True))
     rows += [(None, None, f"Q{n}", None, False) for n in RETIRED]
     return spark.createDataFrame(
@@ -133,13 +126,13 @@ def category_dimension(spark: SparkSession) -> DataFrame:
     text = questions()
     rows = [
         (key, name, "\n".join(f"{qid}: {text[qid]}" for qid in category_questions(key)))
-        for key, (name, _, _) in CATEGORIES.items()
+        for key, name in CATEGORIES.items()
     ]
     return spark.createDataFrame(rows, "category STRING, category_name STRING, question_list STRING")
 
 
 def category_list() -> str:
-    return "\n".join(f"{key} - {name}" for key, (name, _, _) in CATEGORIES.items())
+    return "\n".join(f"{key} - {name}" for key, name in CATEGORIES.items())
 
 
 def is_category(value: Column) -> Column:

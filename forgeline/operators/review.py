@@ -38,7 +38,8 @@ def current_verification(log: DataFrame) -> DataFrame:
 def migrate_ordinal_keys(state: DataFrame, numbered_pairs: DataFrame) -> DataFrame:
     """Re-key decisions stored under a row ordinal; ordinals out of range are dropped.
 
-    ``numbered_pairs`` has (ordinal, pair_id).
+    ``numbered_pairs`` has (ordinal, pair_id). Where a pair has decisions under both keys, the
+    last one counts.
     """
     by_ordinal = F.rlike("pair_id", F.lit(r"^\d+$"))
     moved = (
@@ -48,7 +49,8 @@ def migrate_ordinal_keys(state: DataFrame, numbered_pairs: DataFrame) -> DataFra
         .join(numbered_pairs.select("ordinal", "pair_id"), "ordinal")
         .select("pair_id", "status", "note", "verified_at")
     )
-    return state.filter(~by_ordinal).unionByName(moved)
+    kept = state.filter(~by_ordinal).select("pair_id", "status", "note", "verified_at")
+    return current_verification(kept.unionByName(moved))
 
 
 def with_status(pairs: DataFrame, state: DataFrame) -> DataFrame:
@@ -114,6 +116,13 @@ def page(queue: DataFrame, number: int = 1, size: int = 50) -> DataFrame:
     return queue.orderBy(*PAGE_ORDER).offset((number - 1) * size).limit(size)
 
 
+def page_total(queue: DataFrame, size: int = 50) -> DataFrame:
+    """(total, pages) of the whole queue."""
+    return queue.agg(F.count(F.lit(1)).alias("total")).withColumn(
+        "pages", F.ceil(F.col("total") / size).cast("bigint")
+    )
+
+
 def page_after(queue: DataFrame, last_pair: tuple, size: int = 50) -> DataFrame:
     """The page after a pair's (repo, source, number, question_id), for deep paging."""
     key = F.struct(*PAGE_ORDER)
@@ -122,7 +131,10 @@ def page_after(queue: DataFrame, last_pair: tuple, size: int = 50) -> DataFrame:
 
 def pair_detail(pairs: DataFrame, state: DataFrame, key: str) -> DataFrame:
     """One pair with its decision, all columns."""
-    return with_status(pairs, state).filter(F.col("pair_id") == key)
+    # the key is in both tables, so neither is joined beyond its rows of this pair
+    return with_status(
+        with_pair_id(pairs).filter(F.col("pair_id") == key), state.filter(F.col("pair_id") == key)
+    )
 
 
 def statistics(pairs: DataFrame, state: DataFrame) -> DataFrame:

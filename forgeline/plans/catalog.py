@@ -795,6 +795,11 @@ def review_page(spark, sf):
     return review.page(queue, 2, 20).select("pair_id", "number", "confidence")
 
 
+@query
+def review_page_total(spark, sf):
+    return review.page_total(review.review_queue(*_pairs_and_state(spark, sf), status="pending"), 20)
+
+
 @query
 def review_next_page(spark, sf):
     queue = review.review_queue(*_pairs_and_state(spark, sf), status="pending")

@@ -91,9 +91,16 @@ def run(
     settings: Settings = Settings(),
     skip_ci: bool = False,
     only_qa: bool = False,
+    force: bool = False,
 ) -> None:
-    """All steps for the given repos; ``only_qa`` rebuilds the pairs from stored tables."""
+    """All steps for the given repos; ``only_qa`` rebuilds the pairs from stored tables.
+
+    ``force`` drops what the tables hold of these repos first, so that they are derived anew.
+    """
+    if force and not only_qa:
+        for name in schemas.DATASETS:
+            tables.drop_repos(spark, f"{root}/{name}", repos)
     if not only_qa:
         mine(spark, landed, root, repos, settings, skip_ci)
-    pairs = qa_pairs.build_all(stored_inputs(spark, root, repos, settings), settings)
-    tables.write_table(pairs, f"{root}/qa_pairs")
+    pairs = tables.settle(qa_pairs.build_all(stored_inputs(spark, root, repos, settings), settings), "pairs")
+    tables.replace_repos(pairs, f"{root}/qa_pairs", repos)

@@ -64,6 +64,21 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     )
 
 
+def drop_repos(spark: SparkSession, path: str, repos: list[str]) -> None:
+    """Remove the repos' rows from a dataset; repos without any are passed over."""
+    for repo in repos:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/repo_dir={repo.replace('/', '__')}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    refresh(spark, path)
+
+
+def replace_repos(df: DataFrame, path: str, repos: list[str]) -> None:
+    """Write ``df`` as all there is of the given repos; those without rows in it end up empty."""
+    write_table(df, path)
+    present = {r["repo"] for r in df.select("repo").filter(F.col("repo").isin(repos)).distinct().collect()}
+    drop_repos(df.sparkSession, path, [r for r in repos if r not in present])
+
+
 def is_materialised(spark: SparkSession, path: str, schema: str, repo: str) -> bool:
     """Whether the dataset already holds rows of the repo; looks at one row at most."""
     return not read_table(spark, path, schema, [repo]).isEmpty()

@@ -5,6 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from forgeline.settings import Settings
 from forgeline.operators import classify, review
 
 KEY = ["repo", "source", "number"]
@@ -48,7 +49,8 @@ def test_outcomes(rows, first, second, threshold, outcome, confidence):
 
 def test_prompts(rows):
     df = rows("repo STRING, source STRING, number BIGINT, thread_text STRING, category STRING", ("r", "issue", 1, "t" * 60000, "E"))
-    row = classify.with_stage2_prompt(df.withColumn("p1", classify.stage1_prompt(F.col("thread_text")))).first()
+    cut = Settings(prompt_thread_chars=50000)
+    row = classify.with_stage2_prompt(df.withColumn("p1", classify.stage1_prompt(F.col("thread_text"), cut)), cut).first()
     assert row.p1.count("t" * 50000) == 1 and "t" * 50001 not in row.p1 and "A - People & Awareness" in row.p1
     assert "Q36: " in row.stage2_prompt and "Q37: " in row.stage2_prompt and "Q35: " not in row.stage2_prompt
 

@@ -79,8 +79,8 @@ def test_evidence_needs_more_than_ten_characters(spark):
     assert one(spark, column, b=body, q=("STRING", None)) is False
 
 
-def test_evidence_compares_the_first_hundred_characters(spark):
-    column = text.is_evidence(F.col("b"), F.col("q"))
+def test_evidence_may_compare_the_first_hundred_characters(spark):
+    column = text.is_evidence(F.col("b"), F.col("q"), 100)
     start = "word " * 20
     assert one(spark, column, b=("STRING", start + "x"), q=("STRING", start + "other end")) is True
 

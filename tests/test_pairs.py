@@ -40,8 +40,10 @@ def test_positives_need_a_known_target(issues):
     assert qa_pairs.duplicate_positives(t, drop_self=True, distinct=True).count() == 1
 
 
-def test_question_shows_an_excerpt_and_artifacts_the_whole_body(issues):
-    pairs = qa_pairs.duplicate_positives(qa_pairs.Tables(issues=issues(issue(1, [2], body="x" * 900), issue(2, body="y" * 900))))
+def test_question_may_show_an_excerpt_and_artifacts_the_whole_body(issues):
+    cut = Settings(question_excerpt_chars=500, candidate_excerpt_chars=300)
+    tables = qa_pairs.Tables(issues=issues(issue(1, [2], body="x" * 900), issue(2, body="y" * 900)))
+    pairs = qa_pairs.duplicate_positives(tables, cut)
     row = pairs.select(
         F.char_length("question").alias("q"),
         F.try_variant_get("artifacts_needed", "$.issue_body", "string").alias("whole"),
@@ -74,7 +76,7 @@ def test_assignment(spark, rows, issues):
         "repo STRING, login STRING, path STRING, commits BIGINT, rank INT",
         *[("r", "u14", f"p{i}", 9 - i, i + 1) for i in range(7)],
     )
-    leaders = qa_pairs.top_profiles(totals, paths)
+    leaders = qa_pairs.top_profiles(totals, paths, Settings(files_per_profile=5))
     t = qa_pairs.Tables(issues=issues(issue(1, assignee="a"), issue(2), issue(3, repo="empty", assignee="b")), leaders=leaders)
     pairs = {r.issue_number: json.loads(r.j) for r in qa_pairs.assignment(t).select("issue_number", F.to_json("artifacts_needed").alias("j")).collect()}
     profiles = pairs[1]["contributor_profiles"]
@@ -93,7 +95,7 @@ def test_review_time_needs_five_samples(rows):
     pairs = qa_pairs.review_time(qa_pairs.Tables(pull_requests=pulls(6)))
     row = pairs.select(truth(pairs, "$.median_hours_to_first_review", "double").alias("m"), "question").first()
     assert row.m == 2.5 and row.question == "How long does PR review typically take in r?"
-    history = qa_pairs.review_time(qa_pairs.Tables(pull_requests=pulls(80)))
+    history = qa_pairs.review_time(qa_pairs.Tables(pull_requests=pulls(80)), Settings(review_samples_shown=50))
     assert len(json.loads(history.select(F.to_json("artifacts_needed")).first()[0])["pr_review_history"]) == 50
 
 
@@ -118,9 +120,9 @@ def test_owners(rows):
         *[("r", f"s{i}", login, None, path) for i, (login, path) in enumerate([("u", "d/a"), ("u", "d/a"), ("v", "d/a"), ("v", "e")])],
     ).withColumn("committed_at", F.timestamp_seconds(F.substring("sha", 2, 9).cast("int")))
     late = touches.unionByName(touches.filter("sha = 's3'").withColumns({"sha": F.lit("s9"), "author_login": F.lit(None).cast("string"), "committed_at": F.timestamp_seconds(F.lit(99))}))
-    from forgeline.operators.ownership import top_paths
+    from forgeline.operators.ownership import file_experts, path_expertise
 
-    t = qa_pairs.Tables(paths=top_paths(late), touches=late)
+    t = qa_pairs.Tables(experts=file_experts(path_expertise(late)), touches=late)
     latest = qa_pairs.latest_owner(t)
     assert [(r.f, r.l) for r in latest.select(F.try_variant_get("artifacts_needed", "$.file_path", "string").alias("f"), truth(latest, "$.login").alias("l")).collect()] == [("d/a", "v")]
     most = qa_pairs.primary_owner(t)

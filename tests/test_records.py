@@ -61,11 +61,11 @@ def test_comment_length_and_reference_roll_up(landed):
         {"databaseId": 5, "body": None},
     ]
     record = issue(body="dup of #9", comments={"totalCount": 7, "nodes": comments})
-    row = normalised(landed, record)
+    row = normalised(landed, record, settings=Settings(min_text_chars=100))
     assert [c.id for c in row.comments] == [3, 4]
     assert row.duplicate_of == [9, 5] and row.related_issues == [6] and row.comment_count == 7
     assert row.is_duplicate is True
-    early = normalised(landed, record, refs_in_short_comments=True)
+    early = normalised(landed, record, settings=Settings(min_text_chars=100), refs_in_short_comments=True)
     assert early.duplicate_of == [9, 12, 5] and [c.id for c in early.comments] == [3, 4]
 
 
@@ -159,7 +159,7 @@ def test_pull_request(landed):
     assert row.hours_to_first_review == 3.0 and row.hours_open == 48.0
     assert row.unique_reviewers == ["y", "z"] and row.requested_reviewers == ["u", "team"]
     assert [r.body_length for r in row.reviews] == [0, 3, 0, 0]
-    assert [(c.reviewer, c.path) for c in row.review_comments] == [("r", "p"), (None, "q")]
+    assert [(c.reviewer, c.path, c.body) for c in row.review_comments] == [("r", "p", LONG), (None, None, "short"), (None, "q", LONG)]
 
 
 def test_pull_request_without_lists(landed):

@@ -31,12 +31,12 @@ def test_issue_thread_text(landed):
 def test_issue_thread_limits(landed):
     nodes = [{"databaseId": i, "author": None, "body": "z" * 6000, "createdAt": None} for i in range(25)]
     record = issue(body="y" * 6000, comments={"totalCount": 25, "nodes": nodes}, author=None)
-    row = built(landed, record).first()
+    row = built(landed, record, settings=Settings(thread_body_chars=5000, thread_comments=20)).first()
     assert [c.id for c in row.comments] == [f"c{i}" for i in range(21)]
     assert {len(c.body) for c in row.comments} == {5000}
     assert row.comments[0].author == "unknown" and row.comments[1].author == "?"
     assert [c.role for c in row.comments[:2]] == ["body", "comment"]
-    whole = built(landed, record, settings=Settings(thread_body_chars=None, thread_comments=None)).first()
+    whole = built(landed, record).first()
     assert len(whole.comments) == 26 and {len(c.body) for c in whole.comments} == {6000}
 
 
@@ -44,7 +44,7 @@ def test_issue_without_any_comment_gives_no_thread(landed):
     empty = {"totalCount": 0, "nodes": []}
     only_short = {"totalCount": 2, "nodes": [{"databaseId": 1, "body": "ok"}]}
     rows = built(landed, issue(comments=empty), issue(number=8, comments=only_short)).collect()
-    assert [(r.number, len(r.comments)) for r in rows] == [(8, 1)]
+    assert [(r.number, len(r.comments)) for r in rows] == [(8, 2)]
 
 
 def discussion(**changes):
