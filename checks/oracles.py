@@ -669,7 +669,7 @@ _CATEGORY_ROWS = ", ".join(
     f"({_literal(k)}, {_literal(name)}, "
     + _literal("\n".join(f"{q}: {_TEXTS[q]}" for q in taxonomy.category_questions(k)))
     + ")"
-    for k, (name, _, _) in taxonomy.CATEGORIES.items()
+    for k, name in taxonomy.CATEGORIES.items()
 )
 RAW["stage2_prompts"] = f"""
 SELECT repo, source, number, s.category, md5({_BLOCK}'Category: ' || c.name || chr(10) || chr(10) || 'Questions:' || chr(10) || c.list
