@@ -1,11 +1,12 @@
 """Near-duplicate documents by Jaccard similarity of word n-grams, found with adaptive prefixes (operator 9).
 
 Texts are sets of word shingles in one global order, the order of their 64-bit hashes. Two
-sets that share enough must share a shingle among the first few of each (prefix filter). A
-shingle that many documents have makes many candidates, so a document's prefix is lengthened
-by one for each such shingle in it, and correspondingly one more shared shingle is required:
-with h frequent shingles in a prefix lengthened by h, at least one of the h + 1 shared ones
-is infrequent, and only infrequent shingles need an index.
+sets that share enough must share a shingle among the first few of each (prefix filter), and
+if both prefixes are longer by e, they must share e + 1 (multi-match). A shingle that many
+documents have makes many candidates. So the cost of a document is estimated by how many such
+shingles its prefix holds: they are not indexed, and what a pair has to share among the others
+falls by as many. A document so full of them that nothing would be required has its prefix
+lengthened to the whole set, and is joined with its like in the order of frequency there.
 """
 
 from __future__ import annotations
@@ -22,7 +23,10 @@ from forgeline.llm import bpe
 from forgeline.sources.tables import settle
 
 FREQUENT = 16  # documents in which a shingle may be before it counts as frequent
-EXTRA = 32  # how far a prefix may be lengthened in the first pass
+EXTRA = 32  # how far every prefix is lengthened beyond the plain one
+PIVOT_ROUNDS = 6  # rounds of linking to one member per bucket, at most
+WORTH = 0.05  # share of a round's candidates that must have linked for another one
+SKETCH = 512  # bits of a set's parity sketch
 SLOTS = 1 << 18  # rows of the pre-filter that is broadcast, at most
 MIX = (np.uint64(0x9FB21C651E98DF25), np.uint64(0xA0761D6478BD642F))
 
@@ -80,13 +84,23 @@ def _share(count: Column, percent: int) -> Column:
     return F.ceil(count * percent / 100)
 
 
+def parity_sketch(s: np.ndarray) -> np.ndarray:
+    """Per bit, whether an odd number of the set's shingles fall on it.
+
+    Two sketches differ in no more bits than the sets differ in shingles, so sets whose
+    sketches differ too much need no further look.
+    """
+    odd = np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def signatures(docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
-    """Per document: set size, digest of the set, and its first shingles."""
+    """Per document: set size, digest and parity sketch of the set, and its first shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
-            size, digest, first, count = [], [], [], []
+            size, digest, first, count, sketch = [], [], [], [], []
             for s in shingler.sets(batch.column(1)):
                 n = len(s)
                 m = min(n, n - -(-n * percent // 100) + 1 + EXTRA) if n else 0
@@ -94,16 +108,21 @@ def signatures(docs: DataFrame, key: str, text: str, words: int, percent: int) -
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 first.append(s[:m])
                 count.append(m)
+                sketch.append(parity_sketch(s))
             flat = np.concatenate([*first, np.empty(0, np.uint64)]).view(np.int64)
             offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+            longs = SKETCH // 64
+            bits = np.concatenate([*sketch, np.empty(0, np.int64)])
+            ends = pa.array(np.arange(len(sketch) + 1, dtype=np.int32) * longs)
+            sketches = pa.ListArray.from_arrays(ends, pa.array(bits))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), lists],
-                names=[key, "n_shingles", "digest", "first"],
+                [batch.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), lists, sketches],
+                names=[key, "n_shingles", "digest", "first", "sketch"],
             )
 
     key_type = docs.schema[key].dataType.simpleString()
-    schema = f"`{key}` {key_type}, n_shingles bigint, digest binary, first array<bigint>"
+    schema = f"`{key}` {key_type}, n_shingles bigint, digest binary, first array<bigint>, sketch array<bigint>"
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
 
 
@@ -182,42 +201,39 @@ def shared_tokens(tokens: DataFrame) -> DataFrame:
     return tokens.join(counts, "token")
 
 
-def adaptive_index(shared: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Index rows (token, cid, n), and the classes whose prefix can't be lengthened enough.
+def required(n: Column, percent: int) -> Column:
+    """Shingles that the lengthened prefixes of two similar sets share, ``n`` being the larger size."""
+    return F.least(F.lit(EXTRA + 1), _share(n, percent))
 
-    A class needs as many infrequent shingles as its plain prefix is long. The prefix grows
-    by one per frequent shingle until it has them, within the shingles at hand. Where it
-    can't, all its infrequent ones are indexed, which finds every partner that could, and the
-    class is returned for the second pass among its like.
+
+def light_index(shared: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Index rows (token, cid, n, hot) of infrequent shingles, and the classes too full of frequent ones.
+
+    ``hot`` is how many frequent shingles a class has in its prefix: of what a pair has to
+    share, at most the smaller ``hot`` of both are among those. Where that is all, the class is
+    heavy; a pair of which one is not heavy is found here.
     """
-    base = F.col("n") - _share(F.col("n"), percent) + 1
-    places = F.array_sort(F.collect_list("pos"))
-    late = F.filter(
-        F.transform("places", lambda x, i: F.when(x - i >= F.col("base"), i)), lambda i: i.isNotNull()
-    )
-    grown = settle(
+    hot = settle(
         shared.filter(F.col("df") > FREQUENT)
         .groupBy("cid", "n")
-        .agg(places.alias("places"))
-        .withColumn("base", base)
-        .withColumn("extra", F.coalesce(F.get(late, F.lit(0)), F.size("places")))
-        .select("cid", (F.col("base") + F.col("extra")).alias("prefix"), (F.col("extra") > EXTRA).alias("heavy")),
-        "prefixes",
+        .agg(F.count("*").alias("hot"))
+        .withColumn("heavy", F.col("hot") >= required(F.col("n"), percent)),
+        "hot",
     )
     rows = (
         shared.filter(F.col("df") <= FREQUENT)
-        .join(grown, "cid", "left")
-        .filter(F.coalesce("heavy", F.lit(False)) | (F.col("pos") < F.coalesce("prefix", base)))
-        .select("token", "cid", "n")
+        .join(hot.select("cid", "hot"), "cid", "left")
+        .select("token", "cid", "n", F.coalesce("hot", F.lit(0)).alias("hot"))
     )
-    return rows, grown.filter("heavy").select("cid")
+    return rows, hot.filter("heavy").select("cid")
 
 
 def heavy_index(heavy: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, words: int, percent: int):
     """Index rows of the classes full of frequent shingles, among themselves.
 
-    Here every shingle of a set is counted, so the order is infrequent ones first and the plain
-    prefix in that order does; frequent ones enter only for sets made up of little else.
+    Here every shingle of a set is counted, so the order is infrequent ones first, then by
+    hash, and the lengthened prefix in that order is indexed whole; frequent shingles come
+    into it only for sets made up of little else.
     """
     wanted = settle(nodes.join(heavy, "cid").select("cid", "rep", "digest"), "heavy")
     texts = texts_of(docs, wanted, key, text).select("cid", "digest", "text")
@@ -237,16 +253,20 @@ def heavy_index(heavy: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, t
                     )
 
     tokens = settle(texts.mapInArrow(run, "cid bigint, n bigint, token bigint").distinct(), "heavy-tokens")
-    counts = tokens.groupBy("token").agg(F.count("*").alias("df"))
-    ranked = tokens.join(counts, "token").select(
-        "cid", "n", F.struct((F.col("df") > FREQUENT).alias("often"), "token", "df").alias("at")
+    counts = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    ranked = tokens.join(counts, "token", "left").select(
+        "cid",
+        "n",
+        F.struct(
+            (F.coalesce("df", F.lit(1)) > FREQUENT).alias("often"), "token", F.col("df").isNotNull().alias("twice")
+        ).alias("at"),
     )
-    base = F.col("n") - _share(F.col("n"), percent) + 1
+    length = F.col("n") - _share(F.col("n"), percent) + 1 + EXTRA
     first = ranked.groupBy("cid", "n").agg(F.array_sort(F.collect_list("at")).alias("at"))
     return (
-        first.select("cid", "n", F.explode(F.slice("at", F.lit(1), base.cast("int"))).alias("at"))
-        .filter("at.df > 1")
-        .select("at.token", "cid", "n")
+        first.select("cid", "n", F.explode(F.slice("at", F.lit(1), length.cast("int"))).alias("at"))
+        .filter("at.twice")
+        .select("at.token", "cid", "n", F.lit(0).cast("bigint").alias("hot"))
     )
 
 
@@ -254,44 +274,81 @@ def similar_size(a: str, b: str, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def star_pairs(index: DataFrame, percent: int) -> DataFrame:
-    """Each class with the least one of its bucket and size band."""
+def enough_shared(met: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that meet in as many buckets as similar sets must, from rows (pass, a, b, need)."""
+    return (
+        met.groupBy("pass", "a", "b")
+        .agg(F.count("*").alias("met"), F.first("need").alias("need"))
+        .filter("need > 0 and met >= need")
+        .select("a", "b")
+        .distinct()
+    )
+
+
+def _need(n1: str, n2: str, hot1: str, hot2: str, percent: int) -> Column:
+    return (required(F.greatest(n1, n2), percent) - F.least(hot1, hot2)).alias("need")
+
+
+def pivot_pairs(index: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Members of a bucket and size band, each with the one that is first in this turn's order."""
     band = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100)))
     banded = index.withColumn("band", band)
-    least = banded.groupBy("pass", "token", "band").agg(
-        F.min(F.struct("cid", "n")).alias("low"), F.count("*").alias("size")
+    keys = ["pass", "token", "band"]
+    first = banded.groupBy(*keys).agg(
+        F.min(F.struct(F.xxhash64(F.lit(turn), "cid").alias("turn"), "cid", "n", "hot", "comp")).alias("p"),
+        (F.min("comp") != F.max("comp")).alias("open"),
     )
-    return (
-        banded.join(least.filter("size > 1"), ["pass", "token", "band"])
-        .filter((F.col("cid") > F.col("low.cid")) & similar_size("n", "low.n", percent))
-        .select(F.col("low.cid").alias("a"), F.col("cid").alias("b"))
-        .distinct()
+    met = (
+        banded.join(first.filter("open"), keys)
+        .filter((F.col("comp") != F.col("p.comp")) & similar_size("n", "p.n", percent))
+        .select(
+            "pass",
+            F.least("cid", "p.cid").alias("a"),
+            F.greatest("cid", "p.cid").alias("b"),
+            _need("n", "p.n", "hot", "p.hot", percent),
+        )
+    )
+    return enough_shared(met, percent)
+
+
+def still_open(index: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of the buckets whose members aren't all connected, with the component of each."""
+    labelled = index.drop("comp").join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    open_ones = (
+        labelled.groupBy("pass", "token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
     )
+    return labelled.join(open_ones.select("pass", "token"), ["pass", "token"])
 
 
-def cross_pairs(index: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs within a bucket that are not connected yet.
+def cross_pairs(index: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """All pairs within a bucket that are not connected yet and whose sketches are near enough.
 
-    Members of a bucket that are connected to its least one need no pairs among themselves;
-    pairs are made of the others with all that they are not connected with.
+    Those of a bucket's main component, the one of its least member, need no pairs among
+    themselves; the others are paired with all that they are not connected with. Similar
+    sets differ in at most (1 - t) / (1 + t) of their sizes' sum, and sketches in no more.
     """
-    labelled = index.join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    main = labelled.groupBy("pass", "token").agg(
-        F.min(F.struct("cid", "comp"))["comp"].alias("main"),
-        (F.min("comp") != F.max("comp")).alias("open"),
+    main = index.groupBy("pass", "token").agg(F.min(F.struct("cid", "comp"))["comp"].alias("main"))
+    bucket = settle(index.join(main, ["pass", "token"]).join(sketches, "cid"), "open-buckets")
+    left = bucket.filter("comp != main").select(
+        "pass", "token", *[F.col(c).alias(f"{c}1") for c in ("cid", "n", "hot", "comp", "sketch")]
     )
-    bucket = settle(
-        labelled.join(main.filter("open"), ["pass", "token"]).select("pass", "token", "cid", "n", "comp", "main"),
-        "open-buckets",
+    apart = sum(
+        (F.bit_count(F.get("sketch", F.lit(k)).bitwiseXOR(F.get("sketch1", F.lit(k)))) for k in range(SKETCH // 64)),
+        F.lit(0),
     )
-    left = bucket.filter("comp != main").select("pass", "token", *[F.col(c).alias(f"{c}1") for c in ("cid", "n", "comp")])
-    return (
+    near = apart * (100 + percent) <= (F.col("n") + F.col("n1")) * (100 - percent)
+    met = (
         bucket.join(left, ["pass", "token"])
-        .filter((F.col("comp") != F.col("comp1")) & similar_size("n", "n1", percent))
+        .filter((F.col("comp") != F.col("comp1")) & similar_size("n", "n1", percent) & near)
         .filter((F.col("comp") == F.col("main")) | (F.col("cid") < F.col("cid1")))
-        .select(F.least("cid", "cid1").alias("a"), F.greatest("cid", "cid1").alias("b"))
-        .distinct()
+        .select(
+            "pass",
+            F.least("cid", "cid1").alias("a"),
+            F.greatest("cid", "cid1").alias("b"),
+            _need("n", "n1", "hot", "hot1", percent),
+        )
     )
+    return enough_shared(met, percent)
 
 
 def near_duplicates(
@@ -301,9 +358,11 @@ def near_duplicates(
 
     Two documents link when their sets of ``words``-word shingles (A-Z lower-cased, words split
     at ASCII white space) have a Jaccard similarity of ``percent``/100 or more. Equal sets become
-    one class before anything else, however many copies there are. Buckets of the index link to
-    their least member first; pairs are made only between what is still unconnected, and every
-    candidate is verified on both whole texts. No link between different texts is lost.
+    one class before anything else, however many copies there are. Members of a bucket are first
+    compared with one of them, in turns with another one, which connects large groups without
+    pairing their members; at last pairs are made between all that is still unconnected. A
+    candidate must meet in as many buckets as similar sets have to, and is verified on both whole
+    texts. No connection between different texts is lost.
 
     A null or empty text, or one without words, has an empty set, links with nothing and is its
     own component. Rows with a null key link with nothing and have a null component. Repeated
@@ -321,20 +380,31 @@ def near_duplicates(
     tokens = classes.select("cid", "n", F.posexplode("first").alias("pos", "token"))
     shared = settle(shared_tokens(tokens), "shared")
     nodes = settle(
-        real.groupBy("digest").agg(F.min("uid").alias("cid"), F.min(key).alias("rep")), "classes"
+        real.groupBy("digest").agg(
+            F.min("uid").alias("cid"), F.min(key).alias("rep"), F.first("sketch").alias("sketch")
+        ),
+        "classes",
     )
-    light, heavy = adaptive_index(shared, percent)
+    light, heavy = light_index(shared, percent)
     dense = heavy_index(heavy, nodes, docs, key, text, words, percent)
-    index = settle(light.withColumn("pass", F.lit(1)).unionByName(dense.withColumn("pass", F.lit(2))), "index")
-
-    stars = settle(star_pairs(index, percent), "star-pairs")
-    links = settle(verify(stars, nodes, docs, key, text, words, percent), "star-links")
-    labels = components(links, "star-components")
-    crossed = cross_pairs(index, labels, percent).join(stars, ["a", "b"], "left_anti")
-    crossed = settle(crossed, "cross-pairs")
-    more = settle(verify(crossed, nodes, docs, key, text, words, percent), "cross-links")
-    labels = components(links.union(more))
+    index = light.withColumn("pass", F.lit(1)).unionByName(dense.withColumn("pass", F.lit(2)))
+    index = settle(index.withColumn("comp", F.col("cid")), "index")
 
+    labels, tried, links, turn, last = None, None, None, 0, False
+    while True:
+        pairs = cross_pairs(index, nodes.select("cid", "sketch"), percent) if last else pivot_pairs(index, turn, percent)
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = settle(pairs, "pairs")
+        linked = settle(verify(pairs, nodes, docs, key, text, words, percent), "links")
+        links = linked if links is None else links.union(linked)
+        tried = pairs if tried is None else tried.union(pairs)
+        labels = components(links)
+        if last:
+            break
+        index = settle(still_open(index, labels), "index")
+        turn += 1
+        last = turn >= PIVOT_ROUNDS or linked.count() <= WORTH * pairs.count()
     named = nodes.join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     member = settle(named.join(least, "comp").select("digest", "component_id"), "members")
