@@ -97,12 +97,6 @@ def only_repos(df: DataFrame, repos: list[str] | None) -> DataFrame:
     return df if repos is None else df.filter(F.col("repo").isin(repos))
 
 
-def write_many(outputs: dict[str, DataFrame], root: str) -> None:
-    """Several datasets from one job, each partitioned by repo."""
-    for name, df in outputs.items():
-        write_table(df, f"{root}/{name}")
-
-
 def append_ledger(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -31,12 +31,24 @@ def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
+def _written(df: DataFrame, path: str, batch_id: int) -> DataFrame:
+    """Write a batch and read it back, so that all later uses see the same rows."""
+    _write_batch(df, path, batch_id)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/batch_id={batch_id}")
+
+
 def _not_in_ledger(batch: DataFrame, ledger_path: str, batch_id: int) -> DataFrame:
-    """Rows whose thread no earlier batch has seen, one row per thread."""
+    """Rows whose thread no earlier batch has seen, one row per thread.
+
+    Of different rows of one thread the same one is taken whenever the batch runs again.
+    """
     # Inside a batch the batch's own session must be used.
     ledger = read_batches(batch.sparkSession, ledger_path, schemas.LEDGER)
     earlier = ledger.filter(F.col("batch_id") < batch_id).select(*KEY)
-    return batch.dropDuplicates(KEY).join(earlier, KEY, "left_anti")
+    content = F.to_json(F.struct(*batch.columns))
+    order = Window.partitionBy(*KEY).orderBy(F.xxhash64(content), content)
+    first = batch.withColumn("_place", F.row_number().over(order)).filter("_place = 1").drop("_place")
+    return first.join(earlier, KEY, "left_anti")
 
 
 def _run(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
@@ -57,9 +69,8 @@ def build_threads(
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        fresh = _not_in_ledger(
-            batch.withColumn("source", F.lit(source)), f"{root}/thread_ledger", batch_id
-        )
+        new = _not_in_ledger(batch.withColumn("source", F.lit(source)), f"{root}/thread_ledger", batch_id)
+        fresh = _written(new, f"{root}/fresh", batch_id)
         keys = fresh.select(*KEY, F.lit(f"raw_threads_{source}s").alias("stage_key"))
         if source == "issue":
             built = threads.issue_threads(issues.normalise_issues(fresh.drop("source"), settings), settings)
@@ -87,13 +98,10 @@ def classify_threads(
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-
         def written(df: DataFrame, name: str) -> DataFrame:
-            _write_batch(df, f"{root}/{name}", batch_id)
-            return spark.read.schema(df.schema).parquet(f"{root}/{name}/batch_id={batch_id}")
+            return _written(df, f"{root}/{name}", batch_id)
 
-        fresh = _not_in_ledger(batch, f"{root}/ledger", batch_id)
+        fresh = written(_not_in_ledger(batch, f"{root}/ledger", batch_id), "fresh")
         prompts = fresh.select(*KEY, classify.stage1_prompt(F.col("thread_text")).alias("prompt"))
         first = written(responses(prompts, 1).select(*KEY, "response_text"), "stage1")
         keys = fresh.select(*KEY)
