@@ -15,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-SLICE_BYTES = 2 << 20  # texts worked on at once
-REMEMBERED_WORDS = 3 << 19  # distinct pre-tokens a worker keeps
+SLICE_BYTES = 1 << 20  # texts worked on at once
+REMEMBERED_WORDS = 1 << 20  # distinct pre-tokens a worker keeps
 
 SPACE, LETTER, NUMBER, OTHER, UNKNOWN = 0, 1, 2, 3, 255
 NO_RANK = np.int32(2**31 - 1)
