@@ -26,6 +26,7 @@ TEMPLATES = (
     ("MIT", "Released under the MIT License"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
     ("MPL-2.0", "subject to the terms of the Mozilla Public License, version 2.0"),
+    ("Proprietary", "All rights reserved"),
     ("Proprietary", "All rights reserved. No part may be reproduced without permission"),
 )
 # Words without weight in templates; fixed values.
@@ -33,6 +34,8 @@ STOP_WORDS = (
     "a all and any are be by in is may no of on or part the this to under use with without".split()
 )
 LEAST_COSINE = 0.75  # of a header line to its template
+LEAST_TERMS = 2  # of a template's words that a header has; one rare word isn't a notice
+RESERVED = "Proprietary"  # notices that open licences carry too, so any other licence of a file goes first
 FILE_SHARE = 0.25  # share of template words from which a matching text is a licence file
 NOT_WORD = "[^a-z0-9]+"
 
@@ -64,8 +67,9 @@ def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str =
     says ``header``, ``file``, ``inherited`` or null.
 
     The templates' words, a fixed small table, are broadcast; only texts' hits on them are
-    shuffled. Inheritance is settled once per directory, then joined to its files. Ties go to
-    the higher cosine, then to the licence's name. Null or empty texts have no licence of their
+    shuffled. Inheritance is settled once per directory, then joined to its files. Of several
+    licences of a file the one with the higher cosine counts, then the first by name; reserved
+    rights count only where there is no other, as licensed files state them too. Null or empty texts have no licence of their
     own. A null path has no directory and inherits nothing. Null keys and repeated rows are
     rows like others. An empty table gives no rows. Other columns are not read. The table is
     scanned twice and rows are told apart by their place in it, so it should be a stored one.
@@ -112,12 +116,13 @@ def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str =
     cosines = (
         passages.join(templates, "term")
         .groupBy("uid", "line", "template", "license")
-        .agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
+        .agg(F.sum(F.col("w") * F.col("tw")).alias("dot"), F.count("*").alias("shared"))
+        .filter(F.col("shared") >= LEAST_TERMS)
         .join(norms, ["uid", "line"])
         .select("uid", "line", "hits", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine"))
         .filter(F.col("cosine") >= LEAST_COSINE)
     )
-    order = [F.col("cosine").desc(), F.col("license")]
+    order = [F.col("license") == RESERVED, F.col("cosine").desc(), F.col("license")]
     ranked = cosines.withColumn("own", F.col("line") >= 0).withColumn(
         "rank", F.row_number().over(Window.partitionBy("uid", "own").orderBy(*order))
     )

@@ -156,3 +156,30 @@ def test_licence_scan_equals_sql(rows, stored, prose):
     want = Counter(con.execute(licenses.oracle_sql()).fetchall())
     assert Counter(map(tuple, got.collect())) == want
     assert len({r[3] for r in want}) >= 3
+
+
+SHORT = [
+    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International License"),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("GPL-2.0", "Licensed under the GNU General Public License, version 2."),
+    ("MIT", "Released under the MIT License."),
+    ("MPL-2.0", "Subject to the terms of the Mozilla Public License, version 2.0."),
+    ("Proprietary", "All rights reserved."),
+    ("Proprietary", "Copyright 2021 Somebody. All rights reserved."),
+    ("Proprietary", "All rights reserved. No part may be reproduced without permission."),
+    ("MIT", "Copyright 2021 Somebody. All rights reserved.\nReleased under the MIT license (the MIT license of old)"),
+    (None, "Seats are reserved."),
+    (None, "reserved\n\n\n\n\nrights"),
+]
+
+
+@pytest.mark.parametrize("common", [0, 40])
+def test_short_notices_on_a_line_by_themselves(rows, stored, prose, common):
+    data = [(k, f"d{k}/f", f"{prose(k, 30)}\n{notice}\n{prose(-k, 30)}") for k, (_, notice) in enumerate(SHORT)]
+    data += [(1000 + k, f"e{k}/f", f"{prose(k, 30)} rights of way") for k in range(common)]
+    found = licenses.scan(stored(rows("doc_id bigint, path string, text string", *data))).filter("doc_id < 1000")
+    got = {r.doc_id: (r.license, r.origin) for r in found.collect()}
+    assert got == {k: (name, name and "header") for k, (name, _) in enumerate(SHORT)}
