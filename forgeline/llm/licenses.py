@@ -5,6 +5,8 @@ Everything is DataFrame or SQL expressions.
 
 from __future__ import annotations
 
+from importlib.resources import files as resources
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,7 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
     ("GPL-2.0", "licensed under the GNU General Public License, version 2"),
     ("GPL-3.0", "licensed under the GNU General Public License, version 3"),
+    ("LGPL-2.1", "licensed under the GNU Lesser General Public License, version 2.1"),
     ("LGPL-3.0", "licensed under the GNU Lesser General Public License, version 3"),
     ("MIT", "Released under the MIT License"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
@@ -33,10 +36,11 @@ TEMPLATES = (
 STOP_WORDS = (
     "a all and any are be by in is may no of on or part the this to under use with without".split()
 )
-LEAST_COSINE = 0.75  # of a header line to its template
+LEAST_COSINE = 0.75  # of a header line to its template, and of a whole text to a licence's
 LEAST_TERMS = 2  # of a template's words that a header has; one rare word isn't a notice
 RESERVED = "Proprietary"  # notices that open licences carry too, so any other licence of a file goes first
-FILE_SHARE = 0.25  # share of template words from which a matching text is a licence file
+FILE_SHARE = 0.25  # share of template words from which a text of little more than a notice is a licence file
+WRAPPED = 4  # adjacent lines that a wrapped notice may take
 NOT_WORD = "[^a-z0-9]+"
 
 
@@ -49,6 +53,75 @@ def template_terms(spark: SparkSession) -> DataFrame:
     return usual.groupBy("template", "license", "term").agg(F.count("*").alias("tf"))
 
 
+def whole_texts() -> list[tuple[str, str]]:
+    """(license, text) of the licences known in full, by name."""
+    found = [p for p in resources(__package__).joinpath("license_texts").iterdir() if p.name.endswith(".txt")]
+    return sorted((p.name.removesuffix(".txt"), p.read_text("utf-8")) for p in found)
+
+
+def _damped(tf: str):
+    return F.log(F.col(tf)) + 1.0
+
+
+def whole_terms(spark: SparkSession) -> DataFrame:
+    """(license, term, idf, tw) over all words of the licences' whole texts; some 10,000 rows, fixed.
+
+    Counts are damped and weighted by the inverse frequency among the licences, so a verdict
+    depends on the text alone and not on the other files.
+    """
+    texts = F.explode(F.array(*[F.struct(F.lit(a).alias("license"), F.lit(b).alias("body")) for a, b in whole_texts()]))
+    words = spark.range(1).select(texts.alias("t")).select("t.license", F.explode(F.split(F.lower("t.body"), NOT_WORD)).alias("term"))
+    counts = settle(words.filter("term != ''").groupBy("license", "term").agg(F.count("*").alias("tf")), "licence-texts")
+    usual = F.count("*").over(Window.partitionBy("term"))
+    known = F.lit(1.0 + len(whole_texts()))
+    weighted = counts.withColumn("idf", F.log(known / (usual + 1.0)) + 1.0).withColumn("w", _damped("tf") * F.col("idf"))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("license")))
+    return settle(weighted.select("license", "term", "idf", (F.col("w") / length).alias("tw")), "licence-weights")
+
+
+def whole_matches(rows: DataFrame, text: str) -> DataFrame:
+    """(uid, w_license, w_cosine) of the texts that as a whole are one of the licences.
+
+    All words of a text count, those of no licence as if one licence had them. A cosine can't
+    exceed the root of the squared weight of those words of the licence that the text has;
+    only texts that pass by this bound get their words counted.
+    """
+    full = whole_terms(rows.sparkSession)
+    names = [name for name, _ in whole_texts()]
+    parts = [f"c{k}" for k in range(len(names))]
+    shares = full.groupBy("term").agg(
+        *[
+            F.coalesce(F.sum(F.when(F.col("license") == name, F.col("tw") * F.col("tw"))), F.lit(0.0)).alias(c)
+            for name, c in zip(names, parts)
+        ]
+    )
+    split = F.split(F.lower(text), NOT_WORD)
+    distinct = rows.select("uid", F.explode(F.array_distinct(split)).alias("term"))
+    bound = distinct.join(F.broadcast(shares), "term").groupBy("uid").agg(*[F.sum(c).alias(c) for c in parts])
+    near = settle(
+        bound.filter(F.greatest(*parts) >= LEAST_COSINE * LEAST_COSINE - 1e-6).select("uid"), "licence-candidates"
+    )
+    words = rows.join(near, "uid", "left_semi").select("uid", F.explode(split).alias("term")).filter("term != ''")
+    counts = words.groupBy("uid", "term").agg(F.count("*").alias("tf"))
+    idf = F.broadcast(full.groupBy("term").agg(F.first("idf").alias("idf")))
+    rare = F.log(F.lit((1.0 + len(names)) / 2.0)) + 1.0
+    weighted = settle(
+        counts.join(idf, "term", "left").select("uid", "term", (_damped("tf") * F.coalesce("idf", rare)).alias("w")),
+        "licence-words",
+    )
+    norms = weighted.groupBy("uid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    cosines = (
+        weighted.join(F.broadcast(full), "term")
+        .groupBy("uid", "license")
+        .agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
+        .join(norms, "uid")
+        .select("uid", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine"))
+        .filter(F.col("cosine") >= LEAST_COSINE)
+    )
+    best = cosines.groupBy("uid").agg(F.min(F.struct((-F.col("cosine")).alias("less"), "license")).alias("at"))
+    return best.select("uid", F.col("at.license").alias("w_license"), (-F.col("at.less")).alias("w_cosine"))
+
+
 def _parents(path: str):
     """Directories above a path, the nearest first; the root is the empty string."""
     steps = F.split(path, "/")
@@ -57,6 +130,66 @@ def _parents(path: str):
     )
 
 
+def _first(name: str):
+    """Of a whole licence, a short licence file, a wrapped notice and a line, what counts."""
+    return (
+        F.when(F.col("w_license").isNotNull(), F.col(f"w_{name}"))
+        .when(F.col("short"), F.col(f"f_{name}"))
+        .when(F.col("over"), F.col(f"n_{name}"))
+        .otherwise(F.col(f"h_{name}"))
+    )
+
+
+def _cosines(hits: DataFrame, idf: DataFrame, templates: DataFrame) -> DataFrame:
+    """(uid, line, hits, license, cosine) of passages, given by their terms, that are near a template."""
+    passages = hits.join(F.broadcast(idf), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    norms = passages.groupBy("uid", "line").agg(
+        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum("tf").alias("hits")
+    )
+    return (
+        passages.join(templates, "term")
+        .groupBy("uid", "line", "template", "license")
+        .agg(F.sum(F.col("w") * F.col("tw")).alias("dot"), F.count("*").alias("shared"))
+        .filter(F.col("shared") >= LEAST_TERMS)
+        .join(norms, ["uid", "line"])
+        .select("uid", "line", "hits", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine"))
+        .filter(F.col("cosine") >= LEAST_COSINE)
+    )
+
+
+def _wrapped(hits: DataFrame, idf: DataFrame, templates: DataFrame, headed: DataFrame, order: list) -> DataFrame:
+    """(uid, n_license, n_cosine) of notices over 2 to ``WRAPPED`` adjacent lines, in files not ``headed`` by a line.
+
+    Only files that have enough of a template's weight in all their lines get windows.
+    """
+    near = (
+        hits.select("uid", "term")
+        .distinct()
+        .join(templates, "term")
+        .groupBy("uid", "template")
+        .agg(F.sum(F.col("tw") * F.col("tw")).alias("most"))
+        .filter(F.col("most") >= LEAST_COSINE * LEAST_COSINE - 1e-6)
+    )
+    open_ = settle(
+        hits.join(near.select("uid").distinct(), "uid", "left_semi").join(headed, "uid", "left_anti"), "licence-open"
+    )
+    windows = F.array(
+        *[
+            F.struct(F.lit(width).alias("width"), (F.col("line") - back).alias("start"))
+            for width in range(2, WRAPPED + 1)
+            for back in range(width)
+        ]
+    )
+    lines = (
+        open_.select("uid", "term", "tf", F.explode(windows).alias("at"))
+        .filter("at.start >= 0")
+        .groupBy("uid", F.col("at").alias("line"), "term")
+        .agg(F.sum("tf").alias("tf"))
+    )
+    best = _cosines(lines, idf, templates).withColumn("rank", F.row_number().over(Window.partitionBy("uid").orderBy(*order)))
+    return best.filter("rank = 1").select("uid", F.col("license").alias("n_license"), F.col("cosine").alias("n_cosine"))
+
+
 def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str = "text") -> DataFrame:
     """Licence of every file: from its own lines, or from the nearest directory above that has a licence file.
 
@@ -72,7 +205,7 @@ def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str =
     rights count only where there is no other, as licensed files state them too. Null or empty texts have no licence of their
     own. A null path has no directory and inherits nothing. Null keys and repeated rows are
     rows like others. An empty table gives no rows. Other columns are not read. The table is
-    scanned twice and rows are told apart by their place in it, so it should be a stored one.
+    scanned four times and rows are told apart by their place in it, so it should be a stored one.
     """
     spark = files.sparkSession
     terms = template_terms(spark)
@@ -105,44 +238,35 @@ def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str =
         )
     )
     whole = hits.groupBy("uid", "term").agg(F.sum("tf").alias("tf")).select("uid", F.lit(-1).alias("line"), "term", "tf")
-    passages = (
-        hits.unionByName(whole)
-        .join(F.broadcast(idf), "term")
-        .withColumn("w", F.col("tf") * F.col("idf"))
-    )
-    norms = passages.groupBy("uid", "line").agg(
-        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum("tf").alias("hits")
-    )
-    cosines = (
-        passages.join(templates, "term")
-        .groupBy("uid", "line", "template", "license")
-        .agg(F.sum(F.col("w") * F.col("tw")).alias("dot"), F.count("*").alias("shared"))
-        .filter(F.col("shared") >= LEAST_TERMS)
-        .join(norms, ["uid", "line"])
-        .select("uid", "line", "hits", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine"))
-        .filter(F.col("cosine") >= LEAST_COSINE)
-    )
     order = [F.col("license") == RESERVED, F.col("cosine").desc(), F.col("license")]
+    cosines = _cosines(hits.unionByName(whole), idf, templates)
     ranked = cosines.withColumn("own", F.col("line") >= 0).withColumn(
         "rank", F.row_number().over(Window.partitionBy("uid", "own").orderBy(*order))
     )
-    ranked = ranked.filter("rank = 1")
+    ranked = settle(ranked.filter("rank = 1"), "licence-ranked")
     header = ranked.filter("own").select("uid", F.col("license").alias("h_license"), F.col("cosine").alias("h_cosine"))
+    wrapped = _wrapped(hits, idf, templates, header.filter(F.col("h_license") != RESERVED), order)
     file = ranked.filter("not own").select(
         "uid", F.col("license").alias("f_license"), F.col("cosine").alias("f_cosine"), "hits"
     )
     found = settle(
         listed.join(header, "uid", "left")
+        .join(wrapped, "uid", "left")
         .join(file, "uid", "left")
-        .withColumn("is_file", F.coalesce(F.col("hits") >= FILE_SHARE * F.col("words"), F.lit(False)))
+        .join(whole_matches(rows, text), "uid", "left")
+        .withColumn("short", F.coalesce(F.col("hits") >= FILE_SHARE * F.col("words"), F.lit(False)))
+        # a wrapped notice goes before reserved rights on a line, or else after
+        .withColumn("over", F.coalesce(F.col("n_license") != RESERVED, F.lit(False)) | F.col("h_license").isNull())
         .withColumn("directory", F.when(F.col(path).isNotNull(), F.get(_parents(path), F.lit(0))))
         .select(
             key,
             path,
             "directory",
-            F.when(F.col("is_file"), F.col("f_license")).otherwise(F.col("h_license")).alias("license"),
-            F.when(F.col("is_file"), F.col("f_cosine")).otherwise(F.col("h_cosine")).alias("cosine"),
-            F.when(F.col("is_file"), "file").when(F.col("h_license").isNotNull(), "header").alias("origin"),
+            _first("license").alias("license"),
+            _first("cosine").alias("cosine"),
+            F.when(F.col("w_license").isNotNull() | F.col("short"), "file")
+            .when(F.coalesce("n_license", "h_license").isNotNull(), "header")
+            .alias("origin"),
         ),
         "licence-found",
     )

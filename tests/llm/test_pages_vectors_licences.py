@@ -183,3 +183,44 @@ def test_short_notices_on_a_line_by_themselves(rows, stored, prose, common):
     found = licenses.scan(stored(rows("doc_id bigint, path string, text string", *data))).filter("doc_id < 1000")
     got = {r.doc_id: (r.license, r.origin) for r in found.collect()}
     assert got == {k: (name, name and "header") for k, (name, _) in enumerate(SHORT)}
+
+
+GNU = """ * This {0} is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU {1}General Public
+ * License as published by the Free Software Foundation, either
+ * version {2} of the License, or (at your option) any later version."""
+WRAPPED = [
+    ("GPL-3.0", GNU.format("program", "", 3)),
+    ("GPL-2.0", GNU.format("program", "", 2)),
+    ("LGPL-3.0", GNU.format("library", "Lesser ", 3)),
+    ("LGPL-2.1", GNU.format("library", "Lesser ", "2.1")),
+    ("AGPL-3.0", "Copyright A. All rights reserved.\n" + GNU.format("program", "Affero ", 3)),
+    ("MPL-2.0", "# This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0. If a copy is not"),
+    ("MIT", "// Permission is hereby granted, free of charge, to any\n// person obtaining a copy of this software"),
+    ("BSD-3-Clause", "Redistribution and use in source and\nbinary forms, with or without\nmodification, are permitted"),
+    (None, "the general public\nhas no license\nfor this version"),
+]
+
+
+def test_whole_licence_texts_and_wrapped_notices(rows, stored, prose):
+    def rewrap(text, width):
+        words = text.split()
+        return "\n".join(" ".join(words[k : k + width]) for k in range(0, len(words), width))
+
+    texts = licenses.whole_texts()
+    data, want = [], {}
+    for k, (name, text) in enumerate(texts):
+        data.append((f"f{k}", f"p{k}/LICENSE", "Copyright (c) 2019 Some Body <some@body.org>\n\n" + rewrap(text, 5 + k)))
+        data.append((f"i{k}", f"p{k}/src/x.py", prose(k, 40)))
+        # the same text within a longer file grants nothing
+        data.append((f"s{k}", f"q{k}/x.py", f"{text}\n" + "\n".join(f"a{n} = b{n * 7} + c{n * k}" for n in range(1200))))
+        data.append((f"n{k}", f"q{k}/y.py", prose(k, 40)))
+        want |= {f"f{k}": (name, "file"), f"i{k}": (name, "inherited"), f"n{k}": (None, None)}
+    for k, (name, notice) in enumerate(WRAPPED):
+        data.append((f"w{k}", f"w{k}/x.py", f"{prose(k, 60)}\n{notice}\n{prose(-k, 60)}"))
+        want[f"w{k}"] = name, name and "header"
+    found = licenses.scan(stored(rows("doc_id string, path string, text string", *data))).collect()
+    got = {r.doc_id: (r.license, r.origin) for r in found}
+    assert {k: v for k, v in got.items() if not k.startswith("s")} == want
+    assert all(v[1] != "file" for k, v in got.items() if k.startswith("s"))
+    assert len(got) == len(data)
