@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from forgeline.llm import bpe
 
-MOST_LABELS = 20_000  # labelled rows that fitting looks at, at most
+MOST_LABELS = 20_000  # labelled documents that fitting looks at, one row of each, at most
 PAIRS = 100_000  # preference pairs drawn from them
 STEPS = 400
 RATE = 0.5
@@ -160,7 +161,12 @@ def held_out(key: str) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> Ranking:
-    """Fit on labelled documents that aren't held out, ``MOST_LABELS`` at most, taken by a hash of the key."""
+    """Fit on labelled documents that aren't held out, ``MOST_LABELS`` at most, taken by a hash of the key.
+
+    Of a repeated key one row counts, the least by a hash of its features.
+    """
+    key_type = docs.schema[key].dataType.simpleString()
+
     known = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(key))
     taken = (
         known.groupBy(key)
@@ -171,13 +177,24 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = features(batch.column(0))
+            x = features(batch.column(1))
+            least: dict = {}  # a key's copies shrink to one per batch before they are shuffled
+            for at, (k, row) in enumerate(zip(batch.column(0).to_pylist(), x)):
+                mark = int.from_bytes(hashlib.blake2b(row.tobytes(), digest_size=8).digest(), "little", signed=True)
+                if k not in least or mark < least[k][0]:
+                    least[k] = mark, at
+            kept = pa.array([at for _, at in least.values()], pa.int64())
+            marks = pa.array([mark for mark, _ in least.values()], pa.int64())
             rows = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), FEATURES).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([rows, batch.column(1)], names=["x", "good"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(kept), marks, rows.take(kept), batch.column(2).take(kept)],
+                names=[key, "mark", "x", "good"],
+            )
 
     # the sample is bounded, so it may go to every task; texts stay where they are read
-    sample = docs.select(key, text).join(F.broadcast(taken), key).select(text, "good")
-    table = sample.mapInArrow(run, "x array<double>, good int").toArrow()
+    sample = docs.select(key, text).join(F.broadcast(taken), key).select(key, text, "good")
+    measured = sample.mapInArrow(run, f"`{key}` {key_type}, mark bigint, x array<double>, good int")
+    table = measured.groupBy(key).agg(F.min(F.struct("mark", "x", "good")).alias("one")).select("one.x", "one.good").toArrow()
     x = np.array(table.column("x").to_pylist(), np.float64).reshape(-1, FEATURES)
     good = table.column("good").to_numpy()
     order = np.lexsort((*x.T[::-1], good))  # the same fit whatever order the rows come in
@@ -207,7 +224,7 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
     A null or empty text has zero features and a score like others. A null key isn't held
     out. Labels other than 0 and 1 are ignored, of repeated labels the larger counts, repeated
-    documents are scored each. Without labels of both kinds all scores are 0.5. An empty table
+    documents are learned from once and scored each. Without labels of both kinds all scores are 0.5. An empty table
     gives no rows. Other columns are not read.
     """
     scored = score(docs, fit(docs, labels, key, text), key, text)

@@ -154,3 +154,23 @@ def test_rules_edge_cases(rows):
 def test_rules_run_without_python(corpus):
     plan = quality_rules.keep(corpus[2])._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_repeated_labelled_id_counts_once_in_the_fit(rows, prose, monkeypatch):
+    free = [k for k in range(80) if zlib.crc32(str(k).encode()) % 3 != 1]
+    one = [(k, prose(k, 40) if k % 2 else junk(prose(k, 40), k)) for k in free]
+    hot = [(free[0], prose(1000 + k, 30) + "!" * (k % 7)) for k in range(300)]
+    labels = rows("doc_id bigint, quality int", *[(k, k % 2) for k in free])
+    seen, fit_pairs = [], quality_ranking.fit_pairs
+
+    def noted(x, good):
+        seen.append((x.tolist(), good.tolist()))
+        return fit_pairs(x, good)
+
+    monkeypatch.setattr(quality_ranking, "fit_pairs", noted)
+    for parts, data in ((1, one + hot), (5, (one + hot)[::-1]), (3, one)):
+        quality_ranking.fit(rows("doc_id bigint, text string", *data).repartition(parts), labels)
+    assert [len(good) for _, good in seen] == [len(free)] * 3
+    assert seen[0] == seen[1]
+    plain = {tuple(x) for x in seen[2][0]}
+    assert len(plain - {tuple(x) for x in seen[0][0]}) <= 1
