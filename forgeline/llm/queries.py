@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forgeline.llm import chunk_bpe, licenses, ngram_join, packing, piece_bpe, quality_ranking, quality_rules, token_counts, top_k, training_order, warc
+from forgeline.llm import chunk_bpe, licenses, ngram_join, packing, piece_bpe, quality_ranking, quality_rules, token_counts, top_k, training_order, turn_repair, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -125,3 +125,9 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return turn_repair.assess(turn_repair.damage(turns), turns)
