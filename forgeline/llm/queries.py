@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from forgeline.llm import chunk_bpe, licenses, ngram_join, packing, piece_bpe, quality_ranking, quality_rules, token_counts, top_k, training_order, turn_repair, warc
+from forgeline.llm import chunk_bpe, licenses, ngram_join, packing, piece_bpe, prefix_trie, quality_ranking, quality_rules, token_counts, top_k, training_order, turn_repair, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -131,3 +131,8 @@ def op11_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     return turn_repair.assess(turn_repair.damage(turns), turns)
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
