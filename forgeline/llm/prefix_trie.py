@@ -130,10 +130,11 @@ def pieces_of(turns: DataFrame, everyone: DataFrame, span: int) -> DataFrame:
             [pa.array(c, k) for c, k in zip(columns, kinds)], names=["hang", "path", "lengths", "conv_id", "piece", "last"]
         )
 
-    starts = everyone.select(
-        "conv_id", F.lit(0).cast("bigint").alias("depth"), F.lit(None).cast("binary").alias("name"), F.lit(0).cast("bigint").alias("length")
-    )
-    dealt = turns.union(starts).repartition("conv_id").sortWithinPartitions("conv_id", "depth")
+    no_turn = [F.lit(0).cast("bigint").alias("depth"), F.lit(None).cast("binary").alias("name"), F.lit(0).cast("bigint")]
+    # Written first: of a union whose sides are all dealt by conversation, adaptive execution may
+    # leave out the exchange although it has merged partitions of one side only.
+    stream = settle(turns.union(everyone.select("conv_id", *no_turn)), "stream")
+    dealt = stream.repartition("conv_id").sortWithinPartitions("conv_id", "depth")
     return dealt.mapInArrow(
         run, "hang binary, path binary, lengths array<bigint>, conv_id bigint, piece bigint, last boolean"
     )
