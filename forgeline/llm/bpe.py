@@ -16,7 +16,8 @@ import pyarrow as pa
 from tokenizers import Tokenizer
 
 SLICE_BYTES = 1 << 20  # texts worked on at once
-REMEMBERED_WORDS = 1 << 20  # distinct pre-tokens a worker keeps
+REMEMBERED_WORDS = 1 << 19  # distinct pre-tokens a worker keeps
+REMEMBERED_BYTES = 32 << 20  # of their ids and long texts
 
 SPACE, LETTER, NUMBER, OTHER, UNKNOWN = 0, 1, 2, 3, 255
 NO_RANK = np.int32(2**31 - 1)
@@ -67,39 +68,112 @@ class RollingHash:
         return h ^ (h >> np.uint64(32))
 
 
+class Spans:
+    """What tells byte ranges of a buffer apart: lengths, first and last eight bytes, and all of long ones."""
+
+    def __init__(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        self.data, self.start, self.length = data, start, end - start
+        padded = np.concatenate([np.zeros(8, np.uint8), data, np.zeros(8, np.uint8)])
+        eights = np.ndarray(len(data) + 9, "<u8", padded, strides=(1,))
+        short = np.maximum(8 - self.length, 0).astype(np.uint64) * np.uint64(8)
+        none = self.length == 0
+        self.head = np.where(none, 0, eights[start + 8] << np.where(none, 0, short))
+        self.tail = np.where(none, 0, eights[end] >> np.where(none, 0, short))
+        self.long = self.length > 16  # shorter ones are their head and tail
+
+    def same(self, mine: np.ndarray, other: Spans, theirs: np.ndarray) -> np.ndarray:
+        """Whether my ranges ``mine`` hold the same bytes as the other's ranges ``theirs``."""
+        out = self.length[mine] == other.length[theirs]
+        out &= (self.head[mine] == other.head[theirs]) & (self.tail[mine] == other.tail[theirs])
+        at = np.flatnonzero(out & self.long[mine])
+        if len(at):
+            length = self.length[mine[at]]
+            mine_bytes = self.data[spread(self.start[mine[at]], length)]
+            differ = mine_bytes != other.data[spread(other.start[theirs[at]], length)]
+            sums = np.concatenate([[0], np.cumsum(differ)])
+            end = np.cumsum(length)
+            out[at] = sums[end] == sums[end - length]
+        return out
+
+
+class Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, kind: type) -> None:
+        self.room, self.size = np.empty(1024, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        if self.size + len(values) > len(self.room):
+            wider = np.empty(2 * (self.size + len(values)), self.room.dtype)
+            wider[: self.size] = self.room[: self.size]
+            self.room = wider
+        self.room[self.size : self.size + len(values)] = values
+        self.size += len(values)
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.room[: self.size]
+
+
 class Words:
-    """Bounded table from word hash to token ids; empties itself when full."""
+    """Bounded table from words to token ids, found by hash and compared by bytes; empties itself when full."""
 
-    def __init__(self, limit: int = REMEMBERED_WORDS) -> None:
-        self.limit = limit
+    def __init__(self, limit: int = REMEMBERED_WORDS, limit_bytes: int = REMEMBERED_BYTES) -> None:
+        self.limit, self.limit_bytes = limit, limit_bytes
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.empty(0, np.uint64)
-        self.first = np.empty(0, np.int64)
-        self.count = np.empty(0, np.int64)
-        self.ids = np.empty(1024, np.int32)
-        self.used = 0
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place of every key, and whether it is there."""
-        at = np.searchsorted(self.keys, keys)
+        self.keys, self.row = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self._first, self._count, self._ids = Grown(np.int64), Grown(np.int64), Grown(np.int32)
+        self._length, self._head, self._tail = Grown(np.int64), Grown(np.uint64), Grown(np.uint64)
+        self._start, self._data = Grown(np.int64), Grown(np.uint8)
+
+    def make_room(self, words: int) -> None:
+        """Forget everything if so many more words could be too much."""
+        full = self._ids.size * 4 + self._data.size > self.limit_bytes
+        if full or len(self.keys) + words > max(self.limit, 2 * words):
+            self.clear()
+
+    def find(self, keys: np.ndarray, spans: Spans, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row of every word ``spans[which]``, and whether it is there; a word that only shares a hash is not."""
         if not len(self.keys):
-            return at, np.zeros(len(keys), bool)
-        return at, self.keys[np.minimum(at, len(self.keys) - 1)] == keys
-
-    def add(self, keys: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
-        """Add words with ascending keys that are not in the table."""
-        if self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids[: self.used], ids, np.empty(self.used + len(ids), np.int32)])
-        else:
-            self.ids[self.used : self.used + len(ids)] = ids
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        known = self.keys[at] == keys
+        row = self.row[at]
+        known[known] = spans.same(which[known], self, row[known])
+        return row, known
+
+    # the parts of Spans that comparing takes
+    length = property(lambda self: self._length.all)
+    head = property(lambda self: self._head.all)
+    tail = property(lambda self: self._tail.all)
+    start = property(lambda self: self._start.all)
+    data = property(lambda self: self._data.all)
+    first = property(lambda self: self._first.all)
+    count = property(lambda self: self._count.all)
+    ids = property(lambda self: self._ids.all)
+
+    def add(self, keys: np.ndarray, spans: Spans, which: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+        """Add words that are not in the table, with ascending keys."""
+        free = np.ones(len(keys), bool)
+        if len(self.keys):  # a hash that another word has already stays with that word
+            free = self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] != keys
+        free[1:] &= keys[1:] != keys[:-1]
+        place = np.cumsum(count) - count
+        keys, which, place, count = keys[free], which[free], place[free], count[free]
+        row = self._first.size + np.arange(len(keys))
+        self._first.add(self._ids.size + np.cumsum(count) - count)
+        self._count.add(count)
+        self._ids.add(ids[spread(place, count)])
+        kept = np.where(spans.long[which], spans.length[which], 0)
+        self._start.add(self._data.size + np.cumsum(kept) - kept)
+        self._data.add(spans.data[spread(spans.start[which], kept)])
+        self._length.add(spans.length[which])
+        self._head.add(spans.head[which])
+        self._tail.add(spans.tail[which])
         at = np.searchsorted(self.keys, keys)
-        first = self.used + np.cumsum(count) - count
-        self.keys = np.insert(self.keys, at, keys)
-        self.first = np.insert(self.first, at, first)
-        self.count = np.insert(self.count, at, count)
-        self.used += len(ids)
+        self.keys, self.row = np.insert(self.keys, at, keys), np.insert(self.row, at, row)
 
 
 class ByteBpe:
@@ -274,35 +348,50 @@ class ByteBpe:
 
     # -- whole texts -------------------------------------------------------------
 
-    def look_up(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Place in the word table of every pre-token; new words are merged first."""
+    def look_up(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First id and number of ids of every pre-token in the array that comes third; new words are merged.
+
+        Words are found by hash and compared by bytes, in the text and in the table. One that only
+        shares its hash with another is a word of its own.
+        """
         ends = np.append(starts[1:], len(data))
-        sums = self.hashes.sums(data)
-        keys, first, inverse = np.unique(self.hashes.of(sums, starts, ends), return_index=True, return_inverse=True)
-        if len(self.words.keys) + len(keys) > max(self.words.limit, 2 * len(keys)):
-            self.words.clear()
-        _, known = self.words.find(keys)
+        found = self.hashes.of(self.hashes.sums(data), starts, ends)
+        spans = Spans(data, starts, ends)
+        keys, first, inverse = np.unique(found, return_index=True, return_inverse=True)
+        odd = np.flatnonzero(~spans.same(np.arange(len(starts)), spans, first[inverse]))
+        if len(odd):
+            inverse[odd] = len(keys) + np.arange(len(odd))
+            keys, first = np.concatenate([keys, found[odd]]), np.concatenate([first, odd])
+        self.words.make_room(len(keys))
+        row, known = self.words.find(keys, spans, first)
+        place, count = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        place[known], count[known] = self.words.first[row[known]], self.words.count[row[known]]
+        pool = self.words.ids
         if not known.all():
-            new = first[~known]
-            lengths = ends[new] - starts[new]
-            ids, count = self.merge(data[spread(starts[new], lengths)], lengths)
+            fresh = np.flatnonzero(~known)
+            new = first[fresh]
+            lengths = spans.length[new]
+            ids, sizes = self.merge(data[spread(starts[new], lengths)], lengths)
             for word, number in self.special.items():
                 for k in np.flatnonzero(lengths == len(word)):
                     s = starts[new[k]]
                     if data[s : s + len(word)].tobytes() == word:
-                        at = int(count[:k].sum())
-                        ids = np.concatenate([ids[:at], [number], ids[at + count[k] :]]).astype(np.int32)
-                        count[k] = 1
-            self.words.add(keys[~known], ids, count)
-        return self.words.find(keys)[0][inverse]
+                        at = int(sizes[:k].sum())
+                        ids = np.concatenate([ids[:at], [number], ids[at + sizes[k] :]]).astype(np.int32)
+                        sizes[k] = 1
+            place[fresh], count[fresh] = len(pool) + np.cumsum(sizes) - sizes, sizes
+            pool = np.concatenate([pool, ids])
+            order = np.argsort(keys[fresh], kind="stable")
+            sorted_ids = ids[spread((np.cumsum(sizes) - sizes)[order], sizes[order])]
+            self.words.add(keys[fresh][order], spans, new[order], sorted_ids, sizes[order])
+        return place[inverse], count[inverse], pool
 
     def count(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Tokens of each document; ``bounds`` holds n + 1 offsets."""
         starts = self.split(data, bounds)
         sums = np.zeros(len(starts) + 1, np.int64)
         if len(starts):
-            at = self.look_up(data, starts)
-            np.cumsum(self.words.count[at], out=sums[1:])
+            np.cumsum(self.look_up(data, starts)[1], out=sums[1:])
         return np.diff(sums[np.searchsorted(starts, bounds)])
 
     def encode(self, data: np.ndarray, bounds: np.ndarray, specials: bool = True):
@@ -316,9 +405,8 @@ class ByteBpe:
         starts = self.split(data, bounds, specials)
         if not len(starts):
             return np.empty(0, np.int32), starts, np.empty(0, np.int64)
-        at = self.look_up(data, starts)
-        count = self.words.count[at]
-        return self.words.ids[spread(self.words.first[at], count)], starts, count
+        place, count, pool = self.look_up(data, starts)
+        return pool[spread(place, count)], starts, count
 
     def decode_bytes(self, ids: np.ndarray) -> np.ndarray:
         """Bytes of a run of ids, special tokens included."""

@@ -59,6 +59,41 @@ def test_words_are_forgotten_and_learned_again():
         assert bpe.count_texts(tokenizer, pa.array(texts(200))).tolist() == [len(library_ids(t)) for t in texts(200)]
 
 
+def colliding(flip, n=1024):
+    """Words whose polynomial hashes modulo 2**64 are equal whatever the base."""
+    return "".join("ab"[bin(k).count("1") + flip & 1] for k in range(n))
+
+
+def test_words_that_share_a_hash(rows):
+    pair = [colliding(0), colliding(1)]
+    tokenizer = bpe.ByteBpe(PATH)
+    data = np.frombuffer("".join(pair).encode(), np.uint8)
+    hashes = tokenizer.hashes.of(tokenizer.hashes.sums(data), np.array([0, 1024]), np.array([1024, 2048]))
+    assert hashes[0] == hashes[1]
+    sample = [" ".join(pair), *pair, *pair, " ".join(pair[::-1] + pair)]
+    assert bpe.count_texts(tokenizer, pa.array(sample)).tolist() == [len(library_ids(t)) for t in sample]
+    got = [i.tolist() for _, ids, count in bpe.encode_texts(tokenizer, pa.array(sample)) for i in np.split(ids, np.cumsum(count)[:-1])]
+    assert got == [library_ids(t) for t in sample]
+    encoder = chunk_bpe.ChunkEncoder(tokenizer)
+    assert [x.tolist() for x in chunk_bpe.encode_documents(encoder, pa.array(sample))] == [library_ids(t) for t in sample]
+    docs = rows("doc_id bigint, text string", *enumerate(sample))
+    assert {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs).collect()} == {
+        k: len(library_ids(t)) for k, t in enumerate(sample)
+    }
+    pieces = packing.pack(docs).filter("piece = 0").collect()
+    assert {r.doc_id: r.ids_crc32 for r in pieces} == {
+        k: zlib.crc32(np.array((library_ids(t) + [2])[: r.length], "<u4").tobytes())
+        for (k, t), r in zip(enumerate(sample), sorted(pieces, key=lambda r: r.doc_id))
+    }
+
+
+def test_any_hash_gives_the_same_ids(monkeypatch):
+    monkeypatch.setattr(bpe.RollingHash, "of", lambda self, sums, start, end: ((end - start) % 3).astype(np.uint64))
+    tokenizer = bpe.ByteBpe(PATH)
+    for _ in range(2):
+        assert bpe.count_texts(tokenizer, pa.array(texts(200))).tolist() == [len(library_ids(t)) for t in texts(200)]
+
+
 @pytest.mark.parametrize("least,bits,window", [(6, 3, 4), (1, 2, 2), (96, 9, 16)])
 def test_chunk_joins_are_repaired(monkeypatch, least, bits, window):
     monkeypatch.setattr(chunk_bpe, "LEAST_CHUNK", least)
