@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,6 @@ class Shingler:
 
     def __init__(self, words: int) -> None:
         self.words = words
-        self.hashes = bpe.RollingHash()
 
     def word_hashes(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hash of every word, and the first word of every text (n + 1 bounds)."""
@@ -56,7 +56,15 @@ class Shingler:
         ends = solid.copy()
         ends[:-1] &= ~solid[1:] | edge[1:-1]
         start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        return self.hashes.of(self.hashes.sums(low), start, end), np.searchsorted(start, bounds)
+        spans = bpe.Spans(low, start, end)
+        mixed = spans.head * MIX[0]
+        for part in (spans.tail, spans.length.astype(np.uint64)):
+            mixed = ((mixed ^ (mixed >> np.uint64(32))) + part) * MIX[1]
+        mixed ^= mixed >> np.uint64(29)
+        for k in np.flatnonzero(spans.long).tolist():  # a word's two ends are all of a shorter one
+            digest = hashlib.blake2b(low[start[k] : end[k]].tobytes(), digest_size=8).digest()
+            mixed[k] = int.from_bytes(digest, "little")
+        return mixed, np.searchsorted(start, bounds)
 
     def _join(self, words: np.ndarray, count: int) -> np.ndarray:
         out = np.full(max(0, len(words) - count + 1), count, np.uint64)
@@ -412,38 +420,34 @@ def near_duplicates(
     joined = plain.filter((F.col("n_shingles") > 0) & F.col(key).isNotNull()).join(member, "digest")
     alone = plain.filter((F.col("n_shingles") == 0) | F.col(key).isNull())
     return joined.select(key, "n_shingles", "component_id").union(
-        alone.select(
-            key, "n_shingles", F.when(F.col("n_shingles") == 0, F.col(key)).cast(docs.schema[key].dataType)
-        )
+        alone.select(key, "n_shingles", F.when(F.col("n_shingles") == 0, F.col(key)))
     )
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without near duplicates: of each component the one with the least key stays.
+    """The documents without near duplicates: of each component the row with the least key stays.
 
-    Documents without words, and those with a null key, stay. Rows that repeat key and text count as
-    copies; where a repeated key has several texts, all stay if one does. Only documents whose
-    key falls in a slot of a removed or repeated one (``SLOTS`` slots at most are broadcast) are
-    shuffled; the others pass where they are read.
+    Rows take part as rows: those with a null key or a repeated one join components by their text
+    like all others, a null key coming after all keys. Rows that repeat key and text count once if
+    the text has words. Documents without words link with nothing, so all of them stay. Only rows
+    whose name falls in a slot of a removed or repeated one (``SLOTS`` slots at most are broadcast)
+    are shuffled; the others pass where they are read. Columns may have any names.
     """
-    found = near_duplicates(docs, key, text, words, percent).filter(F.col(key).isNotNull())
-    verdict = found.groupBy(F.col(key).alias("rep")).agg(
-        F.max(F.col(key) == F.col("component_id")).alias("stays"), F.count("*").alias("rows")
-    )
-    suspect = settle(verdict.filter(~F.col("stays") | (F.col("rows") > 1)), "near-duplicates")
-    slot = F.pmod(F.xxhash64("rep"), F.lit(SLOTS))
-    slots = F.broadcast(suspect.select(slot.alias("_slot")).distinct())
-    own = F.pmod(F.xxhash64(key), F.lit(SLOTS))
-    slotted = docs.withColumn("_slot", own)
-    clear = slotted.filter(F.col(key).isNull()).unionByName(
-        slotted.filter(F.col(key).isNotNull()).join(slots, "_slot", "left_anti").select(*slotted.columns)
-    )
-    unclear = (
-        slotted.filter(F.col(key).isNotNull())
-        .join(slots, "_slot", "left_semi")
-        .join(suspect, F.col(key) == F.col("rep"), "left")
-        .filter(F.coalesce("stays", F.lit(True)))
+    said = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    name = F.unhex(F.sha2(F.concat(F.length(said), F.lit(":"), said, F.coalesce(text, F.lit(""))), 256))
+    row = F.struct(F.col(key).isNull().alias("unnamed"), F.col(key).alias("key"), name.alias("name"))
+    named = docs.select(row.alias("row"), F.col(text).alias("text"))
+    found = near_duplicates(named, "row", "text", words, percent).filter("n_shingles > 0")
+    verdict = found.groupBy("row.name").agg(
+        F.max(F.col("row") == F.col("component_id")).alias("stays"), F.count("*").alias("copies")
     )
-    single = unclear.filter(F.col("rows").isNull())
-    repeated = unclear.filter(F.col("rows").isNotNull()).dropDuplicates([key, text])
-    return clear.select(*docs.columns).unionByName(single.unionByName(repeated).select(*docs.columns))
+    suspect = settle(verdict.filter("NOT stays OR copies > 1"), "near-duplicates")
+    slots = F.broadcast(suspect.select(F.pmod(F.xxhash64("name"), F.lit(SLOTS)).alias("slot")).distinct())
+    packed = docs.select(F.struct(*docs.columns).alias("doc"), name.alias("name"))
+    slotted = packed.withColumn("slot", F.pmod(F.xxhash64("name"), F.lit(SLOTS)))
+    clear = slotted.join(slots, "slot", "left_anti")
+    unclear = slotted.join(slots, "slot", "left_semi").join(suspect, "name", "left")
+    single = unclear.filter("stays IS NULL")
+    kept = unclear.filter("stays")
+    repeated = kept.groupBy("name").agg(F.first("doc").alias("doc"))
+    return reduce(DataFrame.union, [part.select("doc.*") for part in (clear, single, repeated)])

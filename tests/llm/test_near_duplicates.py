@@ -82,12 +82,31 @@ def test_equal_keys_with_different_texts(rows, prose):
 
 
 def test_one_of_each_group_stays(rows, documents):
-    docs = rows("doc_id bigint, text string, slot int", *[(k, t, 1) for k, t in documents])
+    names = "stays int, rep int, rows int, slot int, name string, doc string, row int"
+    docs = rows(f"doc_id bigint, text string, {names}", *[(k, t, *range(4), "n", "d", 5) for k, t in documents])
     kept = ngram_join.keep_one(docs)
     assert kept.columns == docs.columns
-    want = {k for k, _, c in brute(documents, 5, 80) if k == c}
-    got = Counter(r.doc_id for r in kept.collect())
-    assert set(got) - {None} == want and max(got.values()) == 1 and got[None] == 1
+    # rows as rows: each has a number of its own for the search of all pairs, in the order of keys
+    ordered = sorted(range(len(documents)), key=lambda k: (documents[k][0] is None, documents[k][0] or 0))
+    least = {p for p, _, c in brute([(p, documents[k][1]) for p, k in enumerate(ordered)], 5, 80) if p == c}
+    want = Counter(documents[ordered[p]] for p in least)
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == want
+
+
+def test_rows_without_a_key_of_their_own(rows, prose):
+    same, other = prose(1, 60), prose(2, 60)
+    data = [(None, same), (None, same), (None, other), (4, same), (4, other + " x"), (4, other), (4, other), (None, ""), (None, ""), (9, None)]
+    kept = ngram_join.keep_one(rows("doc_id bigint, text string", *data)).collect()
+    got = Counter(tuple(r) for r in kept)
+    assert got[None, ""] == 2 and got[9, None] == 1 and got[4, same] == 1
+    assert got[4, other] + got[4, other + " x"] == 1 and sum(got.values()) == 5
+
+
+def test_words_that_share_a_polynomial_hash(rows):
+    words = ["".join("ab"[bin(k).count("1") + flip & 1] for k in range(1024)) for flip in (0, 1)]
+    data = [(k, f"one two {w} three four") for k, w in enumerate(words)] + [(5, f"one two {words[1]} three four")]
+    got = ngram_join.near_duplicates(rows("doc_id bigint, text string", *data))
+    assert Counter(map(tuple, got.collect())) == brute(data, 4, 85)
 
 
 def test_no_documents(rows):
