@@ -259,14 +259,14 @@ FROM events"""
 VIEWS["v_failed_jobs"] = """
 SELECT l_orderkey AS run_id, 'job' || l_linenumber || '-' || l_partkey AS job_name,
   array_to_string(list_filter([CASE WHEN l_linestatus = 'O' THEN 'build' END, CASE WHEN l_linenumber % 2 = 0 THEN 'test' END],
-    lambda x: x IS NOT NULL), ',') AS steps, ship_us
+    lambda x: x IS NOT NULL), ',') AS steps, ship_us, l_linenumber AS line
 FROM v_lines WHERE l_returnflag = 'R'"""
 
 VIEWS["v_run_jobs"] = """
 SELECT r.*, coalesce(j.jobs, '') AS failed_jobs, j.first_job, j.first_steps FROM v_runs r LEFT JOIN (
-  SELECT run_id, string_agg(job_name || '|' || steps || '|' || ship_us, ';' ORDER BY job_name, steps, ship_us) AS jobs,
-    min(job_name) AS first_job,
-    string_agg(nullif(steps, ''), ',' ORDER BY job_name, steps, ship_us) AS first_steps
+  SELECT run_id, string_agg(job_name || '|' || steps || '|' || ship_us, ';' ORDER BY line DESC, job_name, steps, ship_us) AS jobs,
+    first(job_name ORDER BY line DESC, job_name, steps, ship_us) AS first_job,
+    string_agg(nullif(steps, ''), ',' ORDER BY line DESC, job_name, steps, ship_us) AS first_steps
   FROM v_failed_jobs GROUP BY run_id) j ON j.run_id = r.run_id AND r.conclusion = 'failure'"""
 
 # ---- threads
@@ -590,8 +590,9 @@ SELECT 'Q18' AS question_id, repo, CAST(NULL AS BIGINT) AS issue_number, 1 AS ti
 FROM v_latest_owner"""
 
 VIEWS["v_primary_owner"] = """
-SELECT a.repo, a.path AS file, a.login, a.commits, b.login AS second
-FROM v_experts a LEFT JOIN v_experts b ON b.repo = a.repo AND b.path = a.path AND b.rank = 2 WHERE a.rank = 1"""
+SELECT repo, path AS file, max(login) FILTER (WHERE rank = 1) AS login, max(commits) FILTER (WHERE rank = 1) AS commits,
+  max(login) FILTER (WHERE rank = 2) AS second
+FROM v_experts GROUP BY repo, path"""
 
 RAW["primary_owner_pairs"] = f"""
 SELECT 'Q19' AS question_id, repo, CAST(NULL AS BIGINT) AS issue_number, 1 AS tier, {MOST} AS question, login,
@@ -617,6 +618,16 @@ UNION ALL SELECT 'Q19', repo, NULL, 1, {MOST} FROM v_primary_owner
 UNION ALL SELECT 'Q50', repo, NULL, 1, {REVIEW_TIME} FROM v_pulls GROUP BY repo HAVING count(first_hours) >= 5"""
 
 RAW["all_qa_pairs"] = "SELECT question_id, repo, issue_number, tier, question FROM v_all_pairs"
+RAW["qa_builder_counts"] = """
+SELECT 'duplicate_positives' AS builder, count(*) AS n FROM v_positive
+UNION ALL SELECT 'duplicate_negatives', count(*) FROM v_negative
+UNION ALL SELECT 'assignment', count(*) FROM v_assigned
+UNION ALL SELECT 'regression', count(*) FROM v_inducing
+UNION ALL SELECT 'breakage_cause', count(*) FROM v_broken
+UNION ALL SELECT 'breakage_actor', count(*) FROM v_broken WHERE actor IS NOT NULL
+UNION ALL SELECT 'latest_owner', count(*) FROM v_latest_owner
+UNION ALL SELECT 'primary_owner', count(*) FROM v_primary_owner
+UNION ALL SELECT 'review_time', count(*) FROM (SELECT repo FROM v_pulls GROUP BY repo HAVING count(first_hours) >= 5)"""
 RAW["qa_pair_counts"] = "SELECT repo, question_id, count(*) AS n FROM v_all_pairs GROUP BY ALL"
 
 # ---- threads
@@ -755,6 +766,22 @@ SELECT DISTINCT 'repo' AS facet, repo AS value FROM v_pairs UNION ALL SELECT DIS
 RAW["review_export"] = """
 SELECT source, repo, number, question_id, question_text, answer_text FROM v_queue WHERE status = 'accepted'"""
 RAW["migrated_verification"] = "SELECT pair_id, status, note FROM v_state"
+RAW["verification_state"] = "SELECT pair_id, status, note, verified_us FROM v_state"
+RAW["line_ordinals"] = """
+SELECT pair_id, row_number() OVER (ORDER BY replace(repo, '/', '__'), source, number, question_id) - 1 AS ordinal FROM v_pairs"""
+RAW["landing_rejects"] = """
+SELECT number, CASE number % 17 WHEN 3 THEN 'not JSON' WHEN 5 THEN 'wrong type' WHEN 7 THEN 'no key' ELSE 'good' END AS reason
+FROM (SELECT DISTINCT conv_id AS number FROM v_openings)
+UNION ALL SELECT conv_id, 'no detail' FROM v_openings WHERE conv_id % 17 IN (3, 5, 7)"""
+RAW["one_scan_history"] = """
+SELECT 'commits' AS dataset, repo, sha, CAST(NULL AS VARCHAR) AS path FROM v_commits
+UNION ALL
+SELECT 'touches', c.repo, c.sha, p.path FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) l
+JOIN v_commits c ON c.k = l.l_orderkey JOIN v_parts p ON p.p_partkey = l.l_partkey"""
+RAW["stored_natural_pairs"] = f"""
+SELECT source, repo, number, title, comment_count, 'Q' || (number % 37 + 1) AS question_id, 'owner ' || number AS answer_text,
+  0.72::DOUBLE AS confidence, substr('ABCDEFGHIJK', (number % 11 + 1)::INTEGER, 1) AS stage1_category
+FROM ({RAW["thread_records"]}) WHERE number % 5 >= 2 AND number % 7 >= 2"""
 
 
 def _evidence(body: str, quote: str) -> str:

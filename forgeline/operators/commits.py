@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from forgeline.functions import refs
 from forgeline.functions.text import or_empty
 from forgeline.functions.times import parse_iso
+from forgeline.sources import fan_out
 
 
 def join_commit_details(listing: DataFrame, details: DataFrame) -> DataFrame:
@@ -52,6 +53,18 @@ def touches(commits: DataFrame) -> DataFrame:
     )
 
 
+def write_history(raw: DataFrame, root: str) -> None:
+    """The ``commits`` and ``touches`` tables of the landed commits' repos, from one scan of them.
+
+    Commits are published last, so a repo that has them has its touches too.
+    """
+    rows = normalise_commits(raw)
+    commit = F.struct(*rows.columns)
+    touched = ["repo", "sha", "author_login", "committed_at", "is_bug_fix", "closes_issues"]
+    touch = F.transform("files_changed", lambda path: F.struct(*touched, path.alias("path")))
+    fan_out.write(rows, root, {"touches": touch, "commits": F.array(commit)})
+
+
 def commit_graph(commits: DataFrame) -> DataFrame:
     """Parent edges: (repo, sha, parent_sha)."""
     return commits.select("repo", "sha", F.explode("parents").alias("parent_sha"))

@@ -58,7 +58,12 @@ def path_expertise(touches: DataFrame) -> DataFrame:
 
 def top_paths(touches: DataFrame, k: int = 20) -> DataFrame:
     """The ``k`` most touched paths of each author, ties by path."""
-    return top_k(path_expertise(touches), ["repo", "login"], [F.desc("commits"), F.asc("path")], k)
+    return top_paths_of(path_expertise(touches), k)
+
+
+def top_paths_of(expertise: DataFrame, k: int = 20) -> DataFrame:
+    """As :func:`top_paths`, from a roll-up that is there already."""
+    return top_k(expertise, ["repo", "login"], [F.desc("commits"), F.asc("path")], k)
 
 
 def paths_of_profiles(profiles: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from forgeline import schemas
 from forgeline.functions import json_text, refs, text
 from forgeline.operators import (
     ci,
@@ -25,10 +26,10 @@ from forgeline.operators import (
     review,
     threads,
 )
-from forgeline.plans import qa_pairs
+from forgeline.plans import natural, qa_pairs
 from forgeline.session import configure, new_run_folder
-from forgeline.sources import landing, star
-from forgeline.sources.tables import only_repos, settle
+from forgeline.sources import decisions, landing, ordinals, rejects, star
+from forgeline.sources.tables import only_repos, read_jsonl, read_table, settle, write_jsonl
 from forgeline.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -238,6 +239,19 @@ def commit_parent_edges(spark, sf):
     return commits.commit_graph(commits.normalise_commits(star.raw_commits(spark, sf)))
 
 
+@query
+def one_scan_history(spark, sf):
+    """Commits and their touches, written as two tables by one scan of the landed commits."""
+    landed, root = new_run_folder(spark, "landed-commits"), new_run_folder(spark, "history")
+    write_jsonl(star.raw_commits(spark, sf), landed)
+    commits.write_history(read_jsonl(spark, landed, schemas.RAW_COMMIT), root)
+    made = read_table(spark, f"{root}/commits", schemas.COMMITS)
+    touched = read_table(spark, f"{root}/touches", schemas.TOUCHES)
+    return made.select(F.lit("commits").alias("dataset"), "repo", "sha", F.lit(None).cast("string").alias("path")).unionByName(
+        touched.select(F.lit("touches").alias("dataset"), "repo", "sha", "path")
+    )
+
+
 @query
 def ci_run_records(spark, sf):
     return _runs(spark, sf).select(
@@ -572,25 +586,28 @@ def review_time_pairs(spark, sf):
     )
 
 
-def _all_pairs(spark, sf):
-    """Every builder over written inputs, so that shared ones are computed once."""
+def _pair_inputs(spark, sf):
+    """Builder inputs, written so that shared ones are computed once."""
     touched = settle(star.touches(spark, sf), "touches")
-    paths = settle(ownership.top_paths(touched), "top-paths")
+    expertise = settle(ownership.path_expertise(touched), "expertise")
+    paths = settle(ownership.top_paths_of(expertise), "top-paths")
     issue_rows = settle(_issues(spark, sf), "issues")
     pull_rows = settle(_pulls(spark, sf), "pulls")
-    return qa_pairs.build_all(
-        qa_pairs.Tables(
-            issues=issue_rows,
-            leaders=_leaders(spark, sf, paths),
-            experts=_experts(touched),
-            inducing=inducing.inducing_pairs(touched),
-            ci_runs=settle(_runs(spark, sf), "ci-runs"),
-            touches=touched,
-            pull_requests=pull_rows,
-        )
+    return qa_pairs.Tables(
+        issues=issue_rows,
+        leaders=_leaders(spark, sf, paths),
+        experts=ownership.file_experts(expertise),
+        inducing=inducing.inducing_pairs(touched),
+        ci_runs=settle(_runs(spark, sf), "ci-runs"),
+        touches=touched,
+        pull_requests=pull_rows,
     )
 
 
+def _all_pairs(spark, sf):
+    return qa_pairs.build_all(_pair_inputs(spark, sf))
+
+
 @query
 def all_qa_pairs(spark, sf):
     return _all_pairs(spark, sf).select("question_id", "repo", "issue_number", "tier", "question")
@@ -601,6 +618,14 @@ def qa_pair_counts(spark, sf):
     return qa_pairs.pair_counts(_all_pairs(spark, sf))
 
 
+@query
+def qa_builder_counts(spark, sf):
+    """Rows of each builder, counted while all pairs are written."""
+    path = new_run_folder(spark, "qa-pairs")
+    counts = qa_pairs.write_all(_pair_inputs(spark, sf), lambda pairs: pairs.write.parquet(path))
+    return spark.createDataFrame(list(counts.items()), "builder STRING, n BIGINT")
+
+
 # ---- threads -------------------------------------------------------------------
 
 
@@ -665,6 +690,63 @@ def reread_thread_comments(spark, sf):
     )
 
 
+def _landed(spark, sf) -> str:
+    """Conversations as landed JSON lines of issues and discussions."""
+    folder = new_run_folder(spark, "landed")
+    write_jsonl(star.conversation_issues(spark, sf), f"{folder}/issues")
+    write_jsonl(star.conversation_discussions(spark, sf), f"{folder}/discussions")
+    return folder
+
+
+@query
+def stored_natural_pairs(spark, sf):
+    """Landed files to threads to classified pairs, through the stored tables of every step."""
+    root, n = new_run_folder(spark, "natural"), F.col("number")
+    letter = F.substring(F.lit("ABCDEFGHIJK"), (n % 11 + 1).cast("int"), F.lit(1))
+    stage1 = F.when(n % 5 == 0, "no answer").when(n % 5 == 1, '{"contains_qa": false}').otherwise(
+        F.concat(F.lit('{"contains_qa": true, "confidence": 0.9, "category": "'), letter, F.lit('"}'))
+    )
+    sure = F.when(n % 7 == 1, "0.5").otherwise("0.8")
+    stage2 = F.when(n % 7 > 0, F.concat(
+        F.lit('{"question_id": "Q'), n % 37 + 1, F.lit('", "answer_text": "owner '), n, F.lit('", "confidence": '), sure, F.lit("}")
+    ))
+
+    def responses(prompts: DataFrame, stage: int) -> DataFrame:
+        return prompts.withColumn("response_text", stage1 if stage == 1 else stage2)
+
+    natural.mine_threads(spark, _landed(spark, sf), root)
+    natural.classify_stored(spark, root, responses, "m:1", "m/2")
+    threads_read = natural.read_threads(spark, root).select(*classify.THREAD_KEY, "comment_count")
+    return natural.read_pairs(spark, root).join(threads_read, classify.THREAD_KEY).select(
+        *classify.THREAD_KEY, "title", "comment_count", "question_id", "answer_text",
+        F.round("confidence", 9).alias("confidence"), "stage1_category",
+    )
+
+
+@query
+def landing_rejects(spark, sf):
+    """Landed issues with damaged lines: which ones are read, and why the others are not."""
+    issues_read = star.conversation_issues(spark, sf)
+    n = F.col("number")
+    whole = F.struct("number", *[c for c in issues_read.columns if c != "number"])
+    line = F.to_json(whole)
+    damaged = (
+        F.when(n % 17 == 3, F.left(line, F.lit(20)))
+        .when(n % 17 == 5, F.regexp_replace(line, r'^\{"number":(\d+)', r'{"number":"x$1"'))
+        .when(n % 17 == 7, F.regexp_replace(line, r'"repo":"[^"]*"', '"repo":null'))
+        .otherwise(line)
+    )
+    folder = new_run_folder(spark, "landed-issues")
+    issues_read.select(damaged.alias("value")).write.text(folder)
+    budget = rejects.Budget(share=0.5)
+    good, bad = rejects.read_with_rejects(spark, folder, schemas.RAW_ISSUE, "issues", ["repo", "number"], budget)
+    absent = rejects.missing_details(issues_read, good, ["number"], "issues")
+    found = bad.unionByName(absent)
+    number = F.regexp_extract("record", r'^\{"(?:repo":null,"|)number":"?x?(\d+)', 1)
+    number = F.coalesce(F.try_to_number(F.nullif(number, F.lit("")), F.lit("999999999999")).cast("bigint"), F.get_json_object("record", "$.number").cast("bigint"))
+    return good.select("number", F.lit("good").alias("reason")).unionByName(found.select(number.alias("number"), "reason"))
+
+
 # ---- classification ------------------------------------------------------------
 
 
@@ -770,6 +852,21 @@ def verification_current(spark, sf):
     return state.select("pair_id", "status", "note", _us("verified_at").alias("verified_us"))
 
 
+@query
+def verification_state(spark, sf):
+    """Decisions that came in three changes, two of them in the snapshot."""
+    pairs = review.with_pair_id(star.conversation_pairs(spark, sf))
+    requests = settle(star.verification_requests(pairs), "requests")
+    root = new_run_folder(spark, "decisions")
+    part = F.pmod(F.xxhash64("pair_id", "verified_at"), F.lit(3))
+    for k in range(3):
+        decisions.submit(requests.filter(part == k), root)
+        if k == 1:
+            decisions.compact(spark, root)
+    state = decisions.read_state(spark, root)
+    return state.select("pair_id", "status", "note", _us("verified_at").alias("verified_us"))
+
+
 @query
 def verification_rejects(spark, sf):
     pairs = review.with_pair_id(star.conversation_pairs(spark, sf))
@@ -846,11 +943,31 @@ def evidence_tags(spark, sf):
     return review.tag_evidence(star.conversation_pairs(spark, sf))
 
 
+def _line_ordinals(spark, sf):
+    """Ordinals of pairs by file and line, read from JSON lines with a folder for each repo."""
+    pairs = star.conversation_pairs(spark, sf).select("repo", "source", "number", "question_id")
+    folder = new_run_folder(spark, "pairs-by-repo")
+    (
+        pairs.withColumn("repo_dir", text.repo_folder(F.col("repo")))
+        .repartition("repo_dir")
+        .sortWithinPartitions("repo_dir", "source", "number", "question_id")
+        .write.partitionBy("repo_dir")
+        .json(folder)
+    )
+    schema = "repo STRING, source STRING, number BIGINT, question_id STRING"
+    return review.with_pair_id(ordinals.numbered_json(spark, f"{folder}/*", schema)).select("ordinal", "pair_id")
+
+
+@query
+def line_ordinals(spark, sf):
+    return _line_ordinals(spark, sf)
+
+
 @query
 def migrated_verification(spark, sf):
-    """Decisions stored under the pair's number instead of its id, moved to the id."""
+    """Decisions stored under the pair's place in the files instead of its id, moved to the id."""
     pairs = review.with_pair_id(star.conversation_pairs(spark, sf))
-    numbered = pairs.select(F.col("number").alias("ordinal"), "pair_id")
+    numbered = settle(_line_ordinals(spark, sf), "ordinals")
     valid, _ = review.verification_entries(star.verification_requests(pairs))
     old = review.current_verification(valid).join(numbered, "pair_id").withColumn(
         "pair_id", F.when(F.col("ordinal") % 2 == 0, F.col("ordinal").cast("string")).otherwise(F.col("pair_id"))

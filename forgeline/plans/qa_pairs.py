@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from forgeline.functions.text import excerpt, present
@@ -337,11 +337,33 @@ BUILDERS: dict[str, Builder] = {
 
 
 def build_all(
-    t: Tables, settings: Settings = Settings(), builders: dict[str, Builder] | None = None
+    t: Tables,
+    settings: Settings = Settings(),
+    builders: dict[str, Builder] | None = None,
+    counts: dict[str, Observation] | None = None,
 ) -> DataFrame:
-    """The ``qa_pairs`` table: every builder's rows. A failing builder fails the job."""
+    """The ``qa_pairs`` table: every builder's rows. A failing builder fails the job.
+
+    ``counts`` takes an observation per builder, which counts its rows while they are written.
+    """
     chosen = BUILDERS if builders is None else builders
-    return reduce(DataFrame.unionByName, [build(t, settings) for build in chosen.values()])
+
+    def observed(name: str, rows: DataFrame) -> DataFrame:
+        if counts is None:
+            return rows
+        counts[name] = Observation(name)
+        return rows.observe(counts[name], F.count(F.lit(1)).alias("n"))
+
+    return reduce(DataFrame.unionByName, [observed(name, build(t, settings)) for name, build in chosen.items()])
+
+
+def write_all(
+    t: Tables, write: Callable[[DataFrame], None], settings: Settings = Settings(), builders: dict[str, Builder] | None = None
+) -> dict[str, int]:
+    """Write the pairs of all builders with ``write``, once; returns the rows of each, counted on the way."""
+    counts: dict[str, Observation] = {}
+    write(build_all(t, settings, builders, counts))
+    return {name: seen.get["n"] for name, seen in counts.items()}
 
 
 def pair_counts(pairs: DataFrame) -> DataFrame:

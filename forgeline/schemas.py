@@ -49,7 +49,7 @@ created_at STRING, updated_at STRING, pull_requests ARRAY<STRUCT<number:BIGINT>>
 """
 
 RAW_CI_JOB = """
-repo STRING, run_id BIGINT, name STRING, conclusion STRING, started_at STRING,
+repo STRING, run_id BIGINT, ordinal BIGINT, name STRING, conclusion STRING, started_at STRING,
 completed_at STRING, steps ARRAY<STRUCT<name:STRING, conclusion:STRING>>
 """
 
@@ -90,6 +90,11 @@ additions BIGINT, deletions BIGINT, parents ARRAY<STRING>, closes_issues ARRAY<B
 is_bug_fix BOOLEAN
 """
 
+TOUCHES = """
+repo STRING, sha STRING, author_login STRING, committed_at TIMESTAMP, is_bug_fix BOOLEAN,
+closes_issues ARRAY<BIGINT>, path STRING
+"""
+
 FILE_OWNERSHIP = "repo STRING, filepath STRING, total_commits BIGINT, unique_authors ARRAY<STRING>"
 
 INDUCING_PAIRS = """
@@ -152,6 +157,7 @@ DATASETS = {
     "issues": ISSUES,
     "pull_requests": PULL_REQUESTS,
     "commits": COMMITS,
+    "touches": TOUCHES,
     "file_ownership": FILE_OWNERSHIP,
     "szz_pairs": INDUCING_PAIRS,
     "ci_runs": CI_RUNS,

@@ -15,6 +15,14 @@ JOB_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # With it on, an exchange above a union of sides dealt by its key can be left out although
+    # adaptive execution has merged partitions of one side: keys would end up in two tasks.
+    "spark.sql.unionOutputPartitioning": "false",
+    # State of streams on disk, with changes instead of whole snapshots in the checkpoint.
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
 

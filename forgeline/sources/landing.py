@@ -20,6 +20,17 @@ SCHEMAS = {
     "ci_jobs": schemas.RAW_CI_JOB,
 }
 
+# Columns without which a landed record is of no use.
+REQUIRED = {
+    "issues": ["repo", "number"],
+    "pull_requests": ["repo", "number"],
+    "discussions": ["repo", "number"],
+    "commits": ["repo", "sha"],
+    "commit_listing": ["repo", "sha"],
+    "ci_runs": ["repo", "id"],
+    "ci_jobs": ["repo", "run_id"],
+}
+
 
 def read_landed(spark: SparkSession, root: str, kind: str) -> DataFrame:
     return read_jsonl(spark, f"{root}/{kind}", SCHEMAS[kind])

@@ -382,6 +382,7 @@ def raw_ci_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(
         _repo("l_orderkey").alias("repo"),
         F.col("l_orderkey").alias("run_id"),
+        (100 - ln).cast("bigint").alias("ordinal"),
         _text("job", ln, "-", F.col("l_partkey")).alias("name"),
         F.when(flag == "R", "failure").when(flag == "A", "success").alias("conclusion"),
         _iso("l_shipdate").alias("started_at"),

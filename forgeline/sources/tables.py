@@ -105,11 +105,6 @@ def read_ledger(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return _unless_missing(lambda: spark.read.schema(schema).parquet(path), spark, schema).distinct()
 
 
-def append_verification(entries: DataFrame, path: str) -> None:
-    """Add decisions to the change log; nothing is rewritten."""
-    entries.write.mode("append").parquet(path)
-
-
 def export_jsonl(df: DataFrame, path: str) -> None:
     write_jsonl(df, path, "overwrite")
 

@@ -1,30 +1,28 @@
 """Incremental jobs: new landed files only, each thread once.
 
-Every batch writes to its own ``batch_id=`` folder and looks only at ledger rows of
-earlier batches, so a batch that is run again after a failure replaces its output
-and adds nothing.
+Which threads have been seen is keyed state of the stream (the state store behind
+``dropDuplicates``), so a batch reads its own files and nothing of the history. Every batch
+writes to its own ``batch_id=`` folder and is committed by a marker at its end; one that is run
+again after a failure starts from the same state, replaces its output and adds nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from forgeline import schemas
 from forgeline.operators import ci, classify, issues, threads
 from forgeline.settings import Settings
+from forgeline.sources import generations
 from forgeline.sources.tables import _unless_missing
 
 KEY = classify.THREAD_KEY
-
-
-def read_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Everything written so far, with the ``batch_id`` of each row."""
-    full = f"{schema}, batch_id BIGINT"
-    return _unless_missing(lambda: spark.read.schema(full).parquet(path), spark, full)
+COUNTER_KEY = ["repo", "actor"]
+COUNTER_BUCKETS = 64
 
 
 def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
@@ -37,108 +35,145 @@ def _written(df: DataFrame, path: str, batch_id: int) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{path}/batch_id={batch_id}")
 
 
-def _not_in_ledger(batch: DataFrame, ledger_path: str, batch_id: int) -> DataFrame:
-    """Rows whose thread no earlier batch has seen, one row per thread.
-
-    Of different rows of one thread the same one is taken whenever the batch runs again.
-    """
-    # Inside a batch the batch's own session must be used.
-    ledger = read_batches(batch.sparkSession, ledger_path, schemas.LEDGER)
-    earlier = ledger.filter(F.col("batch_id") < batch_id).select(*KEY)
-    content = F.to_json(F.struct(*batch.columns))
-    order = Window.partitionBy(*KEY).orderBy(F.xxhash64(content), content)
-    first = batch.withColumn("_place", F.row_number().over(order)).filter("_place = 1").drop("_place")
-    return first.join(earlier, KEY, "left_anti")
-
-
-def _run(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+def _run(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
     return (
         stream.writeStream.foreachBatch(each)
+        .outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def build_threads(
-    raw: DataFrame, source: str, root: str, settings: Settings = Settings()
-) -> StreamingQuery:
-    """Landed issues or discussions to ``<root>/threads``, ledger in ``<root>/thread_ledger``.
+def conform(df: DataFrame, schema: str) -> DataFrame:
+    """The columns of a stored dataset, in order; those the rows lack are null."""
+    fields = df.sparkSession.createDataFrame([], schema).schema
+    return df.select(
+        *[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]
+    )
+
 
-    Issues without comments enter the ledger but give no thread.
+def build_threads(raw: DataFrame, source: str, root: str, settings: Settings = Settings()) -> StreamingQuery:
+    """Landed issues or discussions to ``<root>/threads``, their keys to ``<root>/thread_ledger``.
+
+    The first row of a thread that arrives counts. Issues without comments enter the ledger but
+    give no thread.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        new = _not_in_ledger(batch.withColumn("source", F.lit(source)), f"{root}/thread_ledger", batch_id)
-        fresh = _written(new, f"{root}/fresh", batch_id)
+        # Inside a batch the batch's own session must be used.
+        fresh = _written(batch, f"{root}/fresh", batch_id)
         keys = fresh.select(*KEY, F.lit(f"raw_threads_{source}s").alias("stage_key"))
         if source == "issue":
             built = threads.issue_threads(issues.normalise_issues(fresh.drop("source"), settings), settings)
         else:
             built = threads.discussion_threads(fresh.drop("source"))
-        _write_batch(built, f"{root}/threads", batch_id)
+        _write_batch(conform(built, schemas.RAW_THREADS), f"{root}/threads", batch_id)
         _write_batch(keys, f"{root}/thread_ledger", batch_id)
+        generations.commit_batch(batch.sparkSession, root, batch_id)
+
+    keyed = raw.withColumn("source", F.lit(source)).dropDuplicates(KEY)
+    return _run(keyed, each, f"{root}/_checkpoint")
+
+
+Responses = Callable[[DataFrame, int], DataFrame]
+
+
+def classify_batch(
+    batch: DataFrame,
+    batch_id: int,
+    responses: Responses,
+    root: str,
+    stage1_model: str,
+    stage2_model: str,
+    threshold: float = Settings.confidence_threshold,
+    note: dict | None = None,
+) -> None:
+    """Both stages for the threads of one batch, committed at its end.
+
+    Each stage's answers are written before they are used, so that a lost task does not ask again.
+    """
 
-    return _run(raw, each, f"{root}/_checkpoint")
+    def written(df: DataFrame, name: str) -> DataFrame:
+        return _written(df, f"{root}/{name}", batch_id)
+
+    fresh = written(batch, "fresh")
+    prompts = fresh.select(*KEY, classify.stage1_prompt(F.col("thread_text")).alias("prompt"))
+    first = written(responses(prompts, 1).select(*KEY, "response_text"), "stage1")
+    keys = fresh.select(*KEY)
+    gated = written(classify.stage1_gate(keys.join(first, KEY, "left")), "gated")
+    asked = classify.with_stage2_prompt(
+        gated.filter("outcome IS NULL").select(*KEY, "category").join(fresh.select(*KEY, "thread_text"), KEY)
+    ).select(*KEY, F.col("stage2_prompt").alias("prompt"))
+    second = written(responses(asked, 2).select(*KEY, "response_text"), "stage2")
+    results = written(classify.stage2_merge(gated.join(second, KEY, "left"), threshold), "results")
+    pairs = classify.natural_pairs(results, fresh, stage1_model, stage2_model)
+    _write_batch(pairs, f"{root}/pairs", batch_id)
+    _write_batch(results.select(*KEY, "outcome"), f"{root}/outcomes", batch_id)
+    _write_batch(classify.ledger_rows(results, stage1_model, stage2_model), f"{root}/ledger", batch_id)
+    generations.commit_batch(batch.sparkSession, root, batch_id, note)
 
 
 def classify_threads(
     stream: DataFrame,
-    responses: Callable[[DataFrame, int], DataFrame],
+    responses: Responses,
     root: str,
     stage1_model: str,
     stage2_model: str,
     threshold: float = Settings.confidence_threshold,
 ) -> StreamingQuery:
-    """Threads to ``<root>/pairs`` and ``<root>/outcomes``, ledger in ``<root>/ledger``.
+    """Threads to ``<root>/pairs`` and ``<root>/outcomes``, their keys to ``<root>/ledger``.
 
     ``responses(prompts, stage)`` answers a stage: it gets the thread key and prompt
-    and returns the thread key and ``response_text``. Each stage's answers are written
-    before they are used, so that a lost task does not ask again.
+    and returns the thread key and ``response_text``.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        def written(df: DataFrame, name: str) -> DataFrame:
-            return _written(df, f"{root}/{name}", batch_id)
-
-        fresh = written(_not_in_ledger(batch, f"{root}/ledger", batch_id), "fresh")
-        prompts = fresh.select(*KEY, classify.stage1_prompt(F.col("thread_text")).alias("prompt"))
-        first = written(responses(prompts, 1).select(*KEY, "response_text"), "stage1")
-        keys = fresh.select(*KEY)
-        gated = written(classify.stage1_gate(keys.join(first, KEY, "left")), "gated")
-        asked = classify.with_stage2_prompt(
-            gated.filter("outcome IS NULL").select(*KEY, "category").join(fresh.select(*KEY, "thread_text"), KEY)
-        ).select(*KEY, F.col("stage2_prompt").alias("prompt"))
-        second = written(responses(asked, 2).select(*KEY, "response_text"), "stage2")
-        results = written(
-            classify.stage2_merge(gated.join(second, KEY, "left"), threshold), "results"
-        )
-        pairs = classify.natural_pairs(results, fresh, stage1_model, stage2_model)
-        _write_batch(pairs, f"{root}/pairs", batch_id)
-        _write_batch(results.select(*KEY, "outcome"), f"{root}/outcomes", batch_id)
-        _write_batch(classify.ledger_rows(results, stage1_model, stage2_model), f"{root}/ledger", batch_id)
+        classify_batch(batch, batch_id, responses, root, stage1_model, stage2_model, threshold)
 
-    return _run(stream, each, f"{root}/_checkpoint")
+    return _run(stream.dropDuplicates(KEY), each, f"{root}/_checkpoint")
 
 
-def count_runs(stream: DataFrame, root: str) -> StreamingQuery:
-    """Running CI counters per actor: the latest snapshot is in ``<root>/counters``."""
+def read_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Everything written so far, with the ``batch_id`` of each row."""
+    full = f"{schema}, batch_id BIGINT"
+    return _unless_missing(lambda: spark.read.schema(full).parquet(path), spark, full)
 
-    def each(snapshot: DataFrame, batch_id: int) -> None:
-        _write_batch(snapshot, f"{root}/counters", batch_id)
 
-    return (
-        ci.actor_failure_rates(stream)
-        .writeStream.outputMode("complete")
-        .foreachBatch(each)
-        .option("checkpointLocation", f"{root}/_checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
+def count_runs(stream: DataFrame, root: str, buckets: int = COUNTER_BUCKETS) -> StreamingQuery:
+    """Running CI counters per actor in ``<root>/counters``, one row for each.
+
+    A batch hands on the actors whose counts it changed, with their whole counts. They replace the
+    rows they had; only the buckets they fall into are rewritten, and nothing of former batches is
+    kept. The counts are absolute, so a batch that is run again writes what it wrote.
+    """
+    bucket = F.pmod(F.xxhash64(*COUNTER_KEY), F.lit(buckets)).alias("bucket")
+
+    def each(changed: DataFrame, batch_id: int) -> None:
+        spark = changed.sparkSession
+        changed.select("*", bucket).write.mode("overwrite").parquet(f"{root}/changed")
+        schema = f"{schemas.CI_ACTOR_FAILURE_RATES}, bucket BIGINT"
+        new = spark.read.schema(schema).parquet(f"{root}/changed")
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # ``buckets`` at most
+        known = _unless_missing(lambda: spark.read.schema(schema).parquet(f"{root}/counters"), spark, schema)
+        same = [F.col(f"n.{c}").eqNullSafe(F.col(f"k.{c}")) for c in COUNTER_KEY]
+        kept = known.filter(F.col("bucket").isin(touched)).alias("k").join(new.alias("n"), same, "left_anti")
+        kept.unionByName(new).write.mode("overwrite").parquet(f"{root}/merged")
+        (
+            spark.read.schema(schema)
+            .parquet(f"{root}/merged")
+            .repartition("bucket")
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("bucket")
+            .parquet(f"{root}/counters")
+        )
+        spark.catalog.refreshByPath(root)
+
+    return _run(ci.actor_failure_rates(stream), each, f"{root}/_checkpoint", "update")
 
 
 def latest_counters(spark: SparkSession, root: str) -> DataFrame:
-    """The newest snapshot of :func:`count_runs`."""
-    rows = read_batches(spark, f"{root}/counters", schemas.CI_ACTOR_FAILURE_RATES)
-    newest = rows.agg(F.max("batch_id").alias("batch_id"))
-    return rows.join(F.broadcast(newest), "batch_id").drop("batch_id")  # one row
+    """The counters that :func:`count_runs` keeps."""
+    schema = f"{schemas.CI_ACTOR_FAILURE_RATES}, bucket BIGINT"
+    return _unless_missing(lambda: spark.read.schema(schema).parquet(f"{root}/counters"), spark, schema).drop("bucket")

@@ -114,16 +114,6 @@ def test_incremental_threads_equal_batch(spark, tmp_path):
     assert sorted(r.number for r in ledger.collect()) == [0, 1, 2, 3, 10, 11]
 
 
-def test_a_batch_run_again_adds_nothing(spark, rows, tmp_path):
-    path = str(tmp_path / "ledger")
-    batch = rows("repo STRING, source STRING, number BIGINT", ("r", "issue", 1), ("r", "issue", 2))
-    rows(schemas.LEDGER, ("r", "issue", 1, "k")).write.parquet(f"{path}/batch_id=0")
-    rows(schemas.LEDGER, ("r", "issue", 2, "k")).write.parquet(f"{path}/batch_id=1")
-    again = incremental._not_in_ledger(batch, path, 1)
-    assert [r.number for r in again.collect()] == [2]
-    assert incremental._not_in_ledger(batch, path, 2).count() == 0
-
-
 def test_incremental_classification(spark, rows, tmp_path):
     schema = "repo STRING, source STRING, number BIGINT, title STRING, url STRING, created_at TIMESTAMP, thread_text STRING, comments ARRAY<STRING>"
     inbox, root = str(tmp_path / "threads"), str(tmp_path / "out")
@@ -152,6 +142,7 @@ def test_running_counters_equal_batch(spark, rows, tmp_path):
     schema = "repo STRING, actor STRING, workflow_name STRING, conclusion STRING"
     inbox, root = str(tmp_path / "runs"), str(tmp_path / "out")
     data = [("r", f"u{i % 3}" if i % 3 else None, "w", "failure" if i % 4 == 0 else "success") for i in range(30)]
+    assert incremental.latest_counters(spark, root).count() == 0
     for part in (data[:10], data[10:11], data[11:]):
         rows(schema, *part).write.mode("append").parquet(inbox)
         stream = spark.readStream.schema(rows(schema, *data).schema).parquet(inbox)

@@ -94,16 +94,3 @@ def test_a_repo_without_rows_is_emptied(spark, rows, tmp_path):
 def test_page_total(rows):
     queue = rows("pair_id string", *[(str(k),) for k in range(41)])
     assert tuple(review.page_total(queue, 20).first()) == (41, 3)
-
-
-def test_of_different_rows_of_a_thread_the_same_is_taken(rows, tmp_path):
-    from forgeline.streaming import incremental
-
-    schema = "repo string, source string, number bigint, thread_text string"
-    data = [("r", "issue", k % 3, f"text {k}") for k in range(30)]
-    taken = set()
-    for order in (data, data[::-1]):
-        batch = rows(schema, *order).repartition(3)
-        found = incremental._not_in_ledger(batch, str(tmp_path / "none"), 0).collect()
-        taken.add(frozenset(map(tuple, found)))
-    assert len(taken) == 1 and len(next(iter(taken))) == 3
