@@ -232,10 +232,10 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
 
 def keep(docs: DataFrame, ranking: Ranking, text: str = "text") -> DataFrame:
-    """The documents predicted good, with all their columns."""
+    """The documents predicted good, with all their columns; only texts go to Python."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(ranking.score(features(batch.column(text))) >= 0.5))
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        return pa.array(ranking.score(features(texts)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.filter(scored(F.col(text)) >= 0.5)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -18,6 +18,7 @@ from forgeline.session import new_run_folder
 
 SEQUENCE = 512  # tokens of a sequence
 SHARD = 8192  # sequences of a shard
+READ_RECORDS = 512  # of a shard looked at at once
 ROUNDS = 4
 END = b"\n"  # closes every record
 HEAD = np.dtype([("doc_id", "<i8"), ("piece", "<u4"), ("length", "<u4")])
@@ -145,13 +146,10 @@ def write_shards(
     return total
 
 
-def read_shards(
-    spark: SparkSession, folder: str, size: int = SEQUENCE, shard: int = SHARD, width: int = 2, first_slot: int = 0
+def _records(
+    spark: SparkSession, folder: str, size: int, shard: int, width: int, first_slot: int, last: Callable, last_type: str
 ) -> DataFrame:
-    """Sequences from ``first_slot`` on: slot, shard, byte offset, document, piece, length and ids.
-
-    Earlier shards aren't opened; within its shard the first record is found by its stride.
-    """
+    """One row per record from ``first_slot`` on; ``last`` makes the last column of some records, their ids in one array."""
     step = stride(size, width)
     kind = np.dtype([("head", HEAD), ("ids", f"<u{width}", (size,)), ("end", "S1")])
 
@@ -161,31 +159,25 @@ def read_shards(
                 raw = content.as_buffer()
                 if raw.size % step:
                     raise ValueError(f"shard {number} is not made of records of {step} bytes")
-                rows = np.frombuffer(raw, kind)
-                at = np.arange(len(rows))
-                skip = max(0, first_slot - number * shard)
-                rows, at = rows[skip:], at[skip:]
-                if not len(rows):
-                    continue
-                head, length = rows["head"], rows["head"]["length"].astype(np.int64)
-                used = np.arange(size) < length[:, None]
-                ids = pa.ListArray.from_arrays(
-                    pa.array(np.append(0, np.cumsum(length)).astype(np.int32)),
-                    pa.array(rows["ids"][used].astype(np.int32)),
-                )
-                keys = head["doc_id"].copy()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(number * shard + at),
-                        pa.array(np.full(len(rows), number, np.int64)),
-                        pa.array(at * step),
-                        pa.array(keys, mask=keys == -(1 << 63)),
-                        pa.array(head["piece"].astype(np.int64)),
-                        pa.array(length),
-                        ids,
-                    ],
-                    names=["slot", "shard", "byte_offset", "doc_id", "piece", "length", "ids"],
-                )
+                shard_rows = np.frombuffer(raw, kind)
+                for at in range(max(0, first_slot - number * shard), len(shard_rows), READ_RECORDS):
+                    rows = shard_rows[at : at + READ_RECORDS]
+                    place = at + np.arange(len(rows))
+                    head, length = rows["head"], rows["head"]["length"].astype(np.int64)
+                    ids = np.concatenate([r[:n] for r, n in zip(rows["ids"], length.tolist())])
+                    keys = head["doc_id"].copy()
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(number * shard + place),
+                            pa.array(np.full(len(rows), number, np.int64)),
+                            pa.array(place * step),
+                            pa.array(keys, mask=keys == -(1 << 63)),
+                            pa.array(head["piece"].astype(np.int64)),
+                            pa.array(length),
+                            last(ids, length),
+                        ],
+                        names=["slot", "shard", "byte_offset", "doc_id", "piece", "length", last_type.split(" ")[0]],
+                    )
 
     files = (
         spark.read.format("binaryFile")
@@ -194,8 +186,36 @@ def read_shards(
         .withColumn("shard", F.regexp_extract("path", r"shard=(\d+)", 1).cast("bigint"))
         .filter((F.col("shard") >= first_slot // shard) & (F.col("length") > 0))
     )
-    schema = "slot bigint, shard bigint, byte_offset bigint, doc_id bigint, piece bigint, length bigint, ids array<int>"
-    return files.select("shard", "content").mapInArrow(run, schema)
+    schema = "slot bigint, shard bigint, byte_offset bigint, doc_id bigint, piece bigint, length bigint"
+    return files.select("shard", "content").mapInArrow(run, f"{schema}, {last_type}")
+
+
+def read_shards(
+    spark: SparkSession, folder: str, size: int = SEQUENCE, shard: int = SHARD, width: int = 2, first_slot: int = 0
+) -> DataFrame:
+    """Sequences from ``first_slot`` on: slot, shard, byte offset, document, piece, length and ids.
+
+    Earlier shards aren't opened; within its shard the first record is found by its stride.
+    """
+
+    def lists(ids: np.ndarray, length: np.ndarray) -> pa.Array:
+        bounds = pa.array(np.append(0, np.cumsum(length)).astype(np.int32))
+        return pa.ListArray.from_arrays(bounds, pa.array(ids.astype(np.int32)))
+
+    return _records(spark, folder, size, shard, width, first_slot, lists, "ids array<int>")
+
+
+def shard_digests(
+    spark: SparkSession, folder: str, size: int = SEQUENCE, shard: int = SHARD, width: int = 2, first_slot: int = 0
+) -> DataFrame:
+    """As :func:`read_shards`, with the CRC-32 of the ids as little-endian unsigned 32-bit numbers in their place."""
+
+    def sums(ids: np.ndarray, length: np.ndarray) -> pa.Array:
+        flat = memoryview(ids.astype("<u4")).cast("B")
+        ends = np.cumsum(length)
+        return pa.array([zlib.crc32(flat[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), length.tolist())], pa.int64())
+
+    return _records(spark, folder, size, shard, width, first_slot, sums, "ids_crc32 bigint")
 
 
 def materialise(docs: DataFrame, seed: int = 20_240_601, size: int = SEQUENCE, shard: int = SHARD) -> DataFrame:
@@ -210,17 +230,4 @@ def materialise(docs: DataFrame, seed: int = 20_240_601, size: int = SEQUENCE, s
     if not write_shards(docs, folder, seed, size, shard):
         schema = "slot bigint, shard bigint, byte_offset bigint, doc_id bigint, piece bigint, length bigint"
         return spark.createDataFrame([], f"{schema}, ids_crc32 bigint")
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("ids")
-            bounds = ids.offsets.to_numpy()
-            flat = memoryview(ids.values.to_numpy().astype("<u4")).cast("B")
-            sums = [zlib.crc32(flat[4 * a : 4 * b]) for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
-            names = ["slot", "shard", "byte_offset", "doc_id", "piece", "length"]
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in names], pa.array(sums, pa.int64())], names=[*names, "ids_crc32"]
-            )
-
-    schema = "slot bigint, shard bigint, byte_offset bigint, doc_id bigint, piece bigint, length bigint"
-    return read_shards(spark, folder, size, shard).mapInArrow(digest, f"{schema}, ids_crc32 bigint")
+    return shard_digests(spark, folder, size, shard)

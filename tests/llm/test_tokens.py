@@ -226,3 +226,29 @@ def test_shards_hold_every_sequence_in_its_slot(odd_docs, stored, spark, tmp_pat
     training_order.write_shards(docs, again, seed=4, size=8, shard=10)
     assert Counter(map(str, training_order.read_shards(spark, again, 8, 10).collect())) == Counter(map(str, got))
     assert training_order.materialise(stored(rows("doc_id bigint, text string"))).count() == 0
+
+
+def test_registered_training_order_on_rows(rows, stored):
+    many = [(k, t) for k, t in enumerate(texts(80, 200))] + [(None, "a b"), (5, None), (5, ""), (9, "word " * 3000)]
+    docs = stored(rows("doc_id bigint, text string, slot string", *[(*r, "x") for r in many]))
+    size, shard = 16, 32
+    got = training_order.materialise(docs, 7, size, shard).collect()
+    want = Counter()
+    for key, text in many:
+        ids = library_ids(text) + [50256]
+        for piece in range(0, len(ids), size):
+            part = np.array(ids[piece : piece + size], "<u4")
+            want[key, piece // size, len(part), zlib.crc32(part.tobytes())] += 1
+    assert Counter((r.doc_id, r.piece, r.length, r.ids_crc32) for r in got) == want
+    n = len(got)
+    assert sorted(r.slot for r in got) == list(range(n)) and {r.shard for r in got} == set(range(-(-n // shard)))
+    step = training_order.stride(size, 2)
+    assert all(r.shard == r.slot // shard and r.byte_offset == r.slot % shard * step for r in got)
+    # pieces of a document were numbered one after the other before the permutation
+    slots = {}
+    for r in got:
+        if r.doc_id == 9:
+            slots[r.piece] = r.slot
+    order = {s: k for k, s in enumerate(training_order.permute(np.arange(n), n, 7).tolist())}
+    longest = [order[slots[k]] for k in range(len(slots)) if len(slots) > 1]
+    assert sorted(b - a for a, b in zip(longest[1:], longest[2:])) == [1] * (len(longest) - 2)
