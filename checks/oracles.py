@@ -618,6 +618,8 @@ UNION ALL SELECT 'Q19', repo, NULL, 1, {MOST} FROM v_primary_owner
 UNION ALL SELECT 'Q50', repo, NULL, 1, {REVIEW_TIME} FROM v_pulls GROUP BY repo HAVING count(first_hours) >= 5"""
 
 RAW["all_qa_pairs"] = "SELECT question_id, repo, issue_number, tier, question FROM v_all_pairs"
+# no list of the sample is longer than one request returns
+RAW["bounded_pull_records"] = RAW["pull_request_records"]
 RAW["qa_builder_counts"] = """
 SELECT 'duplicate_positives' AS builder, count(*) AS n FROM v_positive
 UNION ALL SELECT 'duplicate_negatives', count(*) FROM v_negative
@@ -639,6 +641,7 @@ RAW["discussion_thread_comments"] = """
 SELECT repo, conv_id AS number, 'c' || n AS comment_id, author, stamp AS posted_at, body, is_accepted, role FROM v_discussion_posts"""
 RAW["issue_thread_text"] = "SELECT repo, number, thread_text FROM v_issue_text"
 RAW["incremental_threads"] = RAW["issue_thread_text"]
+RAW["bounded_discussions"] = "SELECT repo, conv_id AS number, n AS total_comments, least(n, 15) AS n_comments FROM v_openings"
 RAW["discussion_thread_text"] = "SELECT repo, number, thread_text FROM v_discussion_text"
 VIEWS["v_openings"] = """
 SELECT t.*, r.n, epoch_us(TIMESTAMP '2024-01-01' + to_hours(conv_id::INTEGER)) AS us
@@ -765,6 +768,29 @@ RAW["review_facets"] = """
 SELECT DISTINCT 'repo' AS facet, repo AS value FROM v_pairs UNION ALL SELECT DISTINCT 'question_id', question_id FROM v_pairs"""
 RAW["review_export"] = """
 SELECT source, repo, number, question_id, question_text, answer_text FROM v_queue WHERE status = 'accepted'"""
+RAW["long_thread_outcomes"] = """
+SELECT * FROM (WITH parts AS (
+  SELECT repo, source, number, 0 AS part, text FROM v_docs WHERE len(text) <= 1500
+  UNION ALL
+  SELECT repo, source, number, k, substr(text, (k * 750 + 1)::BIGINT, 750)
+  FROM (SELECT *, unnest(range((len(text) + 749) // 750)) AS k FROM v_docs WHERE len(text) > 1500)
+), words AS (
+  SELECT *, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) AS w FROM parts
+), hits AS (
+  SELECT *, len(list_intersect(w, ['the', 'and'])) AS a, len(list_intersect(w, ['der', 'und'])) AS d,
+    len(list_intersect(w, ['les', 'que'])) AS f FROM words
+), judged AS (
+  SELECT repo, source, number, part, greatest(a, d, f) AS n,
+    CASE WHEN a >= d AND a >= f THEN 'A' WHEN d >= f THEN 'D' ELSE 'F' END AS c FROM hits
+), results AS (
+  SELECT *, CASE n WHEN 0 THEN 0::DOUBLE ELSE (n::DOUBLE / (n + 1)) * 0.9::DOUBLE END AS confidence FROM judged
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY repo, source, number ORDER BY confidence DESC, part) AS rank FROM results
+)
+SELECT repo, source, number, CASE WHEN n = 0 THEN 'no_qa' WHEN confidence < 0.55 THEN 'low_confidence' ELSE 'kept' END AS outcome,
+  CASE WHEN n > 0 THEN c END AS stage1_category, CASE WHEN n = 0 THEN 'NONE' WHEN c = 'A' THEN 'Q1' WHEN c = 'D' THEN 'Q32' ELSE 'Q50' END AS question_id,
+  round(confidence, 9) AS confidence
+FROM ranked WHERE rank = 1)"""
 RAW["migrated_verification"] = "SELECT pair_id, status, note FROM v_state"
 RAW["verification_state"] = "SELECT pair_id, status, note, verified_us FROM v_state"
 RAW["line_ordinals"] = """

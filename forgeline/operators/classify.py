@@ -14,6 +14,7 @@ from forgeline.functions.text import excerpt, stage_key
 from forgeline.settings import Settings
 
 THREAD_KEY = ["repo", "source", "number"]
+PART_KEY = [*THREAD_KEY, "part"]  # of a thread that is asked about in parts
 
 # Wording of this library; the reply fields are what the parser below expects.
 STAGE1_TASK = """Decide whether the thread asks for information about the development process
@@ -70,7 +71,8 @@ def stage1_gate(replies: DataFrame) -> DataFrame:
     """Read stage-1 replies: adds ``outcome`` (null = goes on), ``category``, ``s1_confidence``.
 
     An unreadable or missing reply counts as no-QA with confidence 0 and is marked
-    ``parse_error_s1``; a category outside the taxonomy is no-QA with its confidence.
+    ``parse_error_s1``; a category outside the taxonomy is no-QA with its confidence. Where an
+    ``error`` column says that the scorer failed, the outcome is ``retry``.
     """
     reply = parse_reply(F.col("response_text"))
     parsed = replies.withColumn("_reply", reply)
@@ -81,14 +83,22 @@ def stage1_gate(replies: DataFrame) -> DataFrame:
         .withColumn("s1_confidence", F.when(positive, number_field(F.col("_reply"), "confidence")).otherwise(0.0))
         .withColumn(
             "outcome",
-            F.when(F.col("_reply").isNull(), "parse_error_s1")
+            F.when(_lost(replies), "retry")
+            .when(F.col("_reply").isNull(), "parse_error_s1")
             .when(~positive | ~taxonomy.is_category(category), "no_qa")
             .otherwise(F.lit(None).cast("string")),
         )
-        .drop("_reply", "response_text")
+        .drop("_reply", "response_text", "error")
     )
 
 
+def _lost(replies: DataFrame) -> Column:
+    """Whether a scorer failed on the row instead of answering."""
+    if "error" not in replies.columns:
+        return F.lit(False)
+    return F.col("response_text").isNull() & F.col("error").isNotNull()
+
+
 def _text_or(reply: Column, name: str, default: str) -> Column:
     return F.coalesce(text_field(reply, name), F.lit(default))
 
@@ -97,7 +107,7 @@ def stage2_merge(gated: DataFrame, threshold: float) -> DataFrame:
     """Read stage-2 replies of gated rows and route every row to its outcome.
 
     ``gated`` has the columns of :func:`stage1_gate` and ``response_text`` of stage 2
-    (null where there is none). Outcomes: parse_error_s1, no_qa, failed,
+    (null where there is none). Outcomes: parse_error_s1, no_qa, retry, failed,
     low_confidence, kept. A reply of NONE is kept when it is confident enough.
     """
     r = F.col("_reply")
@@ -119,12 +129,13 @@ def stage2_merge(gated: DataFrame, threshold: float) -> DataFrame:
         .withColumn(
             "outcome",
             F.when(F.col("outcome").isNotNull(), F.col("outcome"))
+            .when(_lost(gated), "retry")
             .when(r.isNull(), "failed")
             .when(F.col("confidence") < threshold, "low_confidence")
             .otherwise("kept"),
         )
         .withColumnRenamed("category", "stage1_category")
-        .drop("_reply", "response_text", "s1_confidence")
+        .drop("_reply", "response_text", "error", "s1_confidence")
     )
 
 
@@ -143,34 +154,36 @@ def classify_with_responses(
 Scorer = Callable[[list[str]], list[str | None]]
 
 
-def score(df: DataFrame, prompt: str, scorer: Scorer, attempts: int = 3) -> DataFrame:
-    """Ask ``scorer`` about each prompt: (thread key, response_text).
+def score(df: DataFrame, prompt: str, scorer: Scorer, attempts: int = 3, group_bytes: int = 4 << 20) -> DataFrame:
+    """Ask ``scorer`` about each prompt: (thread key, and part if there is one, response_text, error).
 
-    The scorer gets a list of prompts and returns one text or None for each. Prompts
-    without an answer, and batches that raise, are asked again, ``attempts`` times in
-    all; what is still missing stays null. Write the result to a table before it
-    is used, so that a lost task does not ask again.
+    The scorer gets a list of prompts, of ``group_bytes`` characters or one prompt, and returns one
+    text or None for each. Prompts without an answer, and groups that raise, are asked again,
+    ``attempts`` times in all. What is still missing is null, with the last error where the scorer
+    raised. Write the result to a table before it is used, so that a lost task does not ask again.
     """
+    keys = [c for c in PART_KEY if c in df.columns]
 
-    def ask(prompts: list[str]) -> list[str | None]:
-        try:
-            return scorer(prompts)
-        except Exception:  # a scorer failure is retried, then recorded as null
-            return [None] * len(prompts)
+    def groups(prompts: pd.Series) -> Iterator[pd.Index]:
+        group = (prompts.str.len().fillna(0).cumsum() // group_bytes).astype("int64")
+        for _, rows in prompts.groupby(group):
+            yield rows.index
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             answers = pd.Series([None] * len(batch), index=batch.index, dtype=object)
+            errors = answers.copy()
             for _ in range(attempts):
-                open_rows = answers.index[answers.isna()]
-                if open_rows.empty:
-                    break
-                answers.loc[open_rows] = ask(batch.loc[open_rows, prompt].tolist())
-            yield batch[THREAD_KEY].assign(response_text=answers)
-
-    return df.select(*THREAD_KEY, prompt).mapInPandas(
-        run, "repo STRING, source STRING, number BIGINT, response_text STRING"
-    )
+                for rows in groups(batch.loc[answers.index[answers.isna()], prompt]):
+                    try:
+                        answers.loc[rows] = scorer(batch.loc[rows, prompt].tolist())
+                        errors.loc[rows] = None
+                    except Exception as e:  # asked again, then recorded
+                        errors.loc[rows] = f"{type(e).__name__}: {e}"[:500]
+            yield batch[keys].assign(response_text=answers, error=errors)
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema)
+    return df.select(*keys, prompt).mapInPandas(run, f"{kinds}, response_text STRING, error STRING")
 
 
 def natural_pairs(results: DataFrame, threads: DataFrame, stage1_model: str, stage2_model: str) -> DataFrame:
@@ -224,6 +237,8 @@ SEEN_KEY = "classify_seen"
 
 
 def ledger_rows(done: DataFrame, stage1_model: str, stage2_model: str) -> DataFrame:
-    """Ledger entries of processed threads, under both keys; failed ones count as done."""
+    """Ledger entries of processed threads, under both keys; failed ones count as done, those to retry don't."""
+    if "outcome" in done.columns:
+        done = done.filter(~F.coalesce(F.col("outcome") == "retry", F.lit(False)))
     keys = F.array(F.lit(stage_key(stage1_model, stage2_model)), F.lit(SEEN_KEY))
     return done.select(*THREAD_KEY, F.explode(keys).alias("stage_key"))

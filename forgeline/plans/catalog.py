@@ -20,6 +20,7 @@ from forgeline.operators import (
     contributors,
     inducing,
     issues,
+    long_threads,
     ownership,
     pulls,
     questions,
@@ -185,9 +186,8 @@ def issue_comment_refs(spark, sf):
     )
 
 
-@query
-def pull_request_records(spark, sf):
-    return _pulls(spark, sf).select(
+def _pull_columns(rows: DataFrame) -> DataFrame:
+    return rows.select(
         "repo",
         "number",
         "title",
@@ -215,6 +215,28 @@ def pull_request_records(spark, sf):
     )
 
 
+@query
+def pull_request_records(spark, sf):
+    return _pull_columns(_pulls(spark, sf))
+
+
+@query
+def bounded_pull_records(spark, sf):
+    """Pull requests with nested lists cut to what one request of the service returns."""
+    return _pull_columns(pulls.normalise_pull_requests(landing.bounded_pull_requests(star.raw_pull_requests(spark, sf))))
+
+
+@query
+def bounded_discussions(spark, sf):
+    raw = landing.bounded_discussions(star.conversation_discussions(spark, sf))
+    return raw.select(
+        "repo",
+        "number",
+        F.col("comments.totalCount").alias("total_comments"),
+        F.coalesce(F.size("comments.nodes"), F.lit(0)).cast("bigint").alias("n_comments"),
+    )
+
+
 @query
 def commit_records(spark, sf):
     return commits.normalise_commits(star.raw_commits(spark, sf)).select(
@@ -814,6 +836,28 @@ def classified_threads(spark, sf):
     )
 
 
+@query
+def long_thread_outcomes(spark, sf):
+    """Whole documents asked about in parts of 1500 characters, by keywords."""
+    words = {"A": ["the", "and"], "D": ["der", "und"], "F": ["les", "que"]}
+    asked = {"A": "Q1", "D": "Q32", "F": "Q50"}
+
+    def replies(prompts: DataFrame, stage: int) -> DataFrame:
+        return long_threads.keyword_replies(prompts, stage, words, asked)
+
+    docs = star.document_threads(spark, sf).select(*classify.THREAD_KEY, "thread_text")
+    parts = settle(long_threads.thread_parts(docs, 1500), "parts")
+    keys = parts.select(*classify.PART_KEY)
+    first = replies(parts.withColumn("prompt", classify.stage1_prompt(F.col("thread_text"))), 1)
+    gated = settle(classify.stage1_gate(keys.join(first, classify.PART_KEY, "left")), "gated")
+    open_ones = gated.filter("outcome IS NULL").select(*classify.PART_KEY, "category").join(parts, classify.PART_KEY)
+    second = replies(classify.with_stage2_prompt(open_ones).withColumnRenamed("stage2_prompt", "prompt"), 2)
+    merged = long_threads.merge_parts(classify.stage2_merge(gated.join(second, classify.PART_KEY, "left"), 0.55))
+    return merged.select(
+        *classify.THREAD_KEY, "outcome", "stage1_category", "question_id", F.round("confidence", 9).alias("confidence")
+    )
+
+
 @query
 def natural_qa_pairs(spark, sf):
     docs = star.document_threads(spark, sf)

@@ -79,6 +79,15 @@ def _new_threads(spark: SparkSession, root: str, generation: str, taken: dict) -
     return reduce(DataFrame.unionByName, parts, empty), reached
 
 
+def _to_retry(spark: SparkSession, root: str, generation: str, last: int) -> DataFrame | None:
+    """Threads that the last batch left to be asked again, None if there are none."""
+    schema = "repo STRING, source STRING, number BIGINT, outcome STRING"
+    left = generations.read_batches(spark, generation, "outcomes", schema, last - 1).filter("outcome = 'retry'")
+    if left.isEmpty():
+        return None
+    return read_threads(spark, root).join(left.select(*classify.THREAD_KEY), classify.THREAD_KEY, "left_semi")
+
+
 def classify_stored(
     spark: SparkSession,
     root: str,
@@ -87,17 +96,26 @@ def classify_stored(
     stage2_model: str,
     threshold: float = Settings.confidence_threshold,
     force: bool = False,
+    window: int | None = None,
 ) -> None:
-    """Classify the threads that this pair of models has not had, as one batch; with ``force`` all of them."""
+    """Classify the threads that this pair of models has not had, as one batch; with ``force`` all of them.
+
+    Threads on which the scorer failed last time are asked about again. With a ``window`` longer
+    threads are asked about in parts.
+    """
     base = f"{root}/natural/pairs/{stage_key(stage1_model, stage2_model)}"
     generation = generations.begin(spark, base, force)
     done = generations.committed_batches(spark, generation)
     taken = generations.batch_note(spark, generation, done[-1])["threads"] if done else {}
     fresh, reached = _new_threads(spark, root, generation, taken)
-    if reached != taken:
+    again = _to_retry(spark, root, generation, done[-1]) if done else None
+    if again is not None:
+        again = again.join(fresh.select(*classify.THREAD_KEY), classify.THREAD_KEY, "left_anti")
+        fresh = fresh.unionByName(again)
+    if reached != taken or again is not None:
         batch = done[-1] + 1 if done else 0
         incremental.classify_batch(
-            fresh, batch, responses, generation, stage1_model, stage2_model, threshold, {"threads": reached}
+            fresh, batch, responses, generation, stage1_model, stage2_model, threshold, {"threads": reached}, window
         )
     generations.fold(spark, generation, "pairs", schemas.NATURAL_QA_PAIRS)
     generations.commit(spark, base, generation)

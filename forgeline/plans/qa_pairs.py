@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from forgeline.functions.text import excerpt, present
 from forgeline.operators import ci, contributors, ownership, ranking
 from forgeline.settings import Settings
+from forgeline.sources.tables import settle
 
 # Question wording by question id.
 ASK_DUPLICATE = "Has this bug been reported before?\n\nTitle: "
@@ -141,6 +142,7 @@ def negative_edges(issues: DataFrame, seed: int) -> DataFrame:
         is_plain,
         totals={"positives": has_refs, "plain": is_plain},
     )
+    plain = settle(plain.select("repo", "number", "rank", "positives", "plain"), "plain-issues")  # ranked once for both sides
     text = F.concat_ws(":", F.lit(str(seed)), F.col("repo"), F.col("number").cast("string"))
     draw = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("bigint")
     left = plain.filter(F.col("rank") <= F.col("positives")).select(

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from forgeline import schemas
-from forgeline.operators import ci, classify, issues, threads
+from forgeline.operators import ci, classify, issues, long_threads, threads
 from forgeline.settings import Settings
 from forgeline.sources import generations
 from forgeline.sources.tables import _unless_missing
@@ -88,25 +88,35 @@ def classify_batch(
     stage2_model: str,
     threshold: float = Settings.confidence_threshold,
     note: dict | None = None,
+    window: int | None = None,
 ) -> None:
     """Both stages for the threads of one batch, committed at its end.
 
     Each stage's answers are written before they are used, so that a lost task does not ask again.
+    With a ``window`` longer threads are asked about in parts (column ``part`` of prompts and
+    answers), and the parts' outcomes merged. Threads on which the scorer failed get the outcome
+    ``retry`` and stay out of the ledger.
     """
+    key = KEY if window is None else classify.PART_KEY
 
     def written(df: DataFrame, name: str) -> DataFrame:
         return _written(df, f"{root}/{name}", batch_id)
 
+    def answers(prompts: DataFrame, stage: int) -> DataFrame:
+        found = responses(prompts, stage)
+        return written(found.select(*key, "response_text", *(["error"] if "error" in found.columns else [])), f"stage{stage}")
+
     fresh = written(batch, "fresh")
-    prompts = fresh.select(*KEY, classify.stage1_prompt(F.col("thread_text")).alias("prompt"))
-    first = written(responses(prompts, 1).select(*KEY, "response_text"), "stage1")
-    keys = fresh.select(*KEY)
-    gated = written(classify.stage1_gate(keys.join(first, KEY, "left")), "gated")
-    asked = classify.with_stage2_prompt(
-        gated.filter("outcome IS NULL").select(*KEY, "category").join(fresh.select(*KEY, "thread_text"), KEY)
-    ).select(*KEY, F.col("stage2_prompt").alias("prompt"))
-    second = written(responses(asked, 2).select(*KEY, "response_text"), "stage2")
-    results = written(classify.stage2_merge(gated.join(second, KEY, "left"), threshold), "results")
+    asked = fresh.select(*KEY, "thread_text")
+    if window is not None:
+        asked = written(long_threads.thread_parts(asked, window), "parts")
+    first = answers(asked.select(*key, classify.stage1_prompt(F.col("thread_text")).alias("prompt")), 1)
+    gated = written(classify.stage1_gate(asked.select(*key).join(first, key, "left")), "gated")
+    going_on = gated.filter("outcome IS NULL").select(*key, "category").join(asked, key)
+    prompts = classify.with_stage2_prompt(going_on).select(*key, F.col("stage2_prompt").alias("prompt"))
+    second = answers(prompts, 2)
+    merged = classify.stage2_merge(gated.join(second, key, "left"), threshold)
+    results = written(merged if window is None else long_threads.merge_parts(merged), "results")
     pairs = classify.natural_pairs(results, fresh, stage1_model, stage2_model)
     _write_batch(pairs, f"{root}/pairs", batch_id)
     _write_batch(results.select(*KEY, "outcome"), f"{root}/outcomes", batch_id)
@@ -121,15 +131,16 @@ def classify_threads(
     stage1_model: str,
     stage2_model: str,
     threshold: float = Settings.confidence_threshold,
+    window: int | None = None,
 ) -> StreamingQuery:
     """Threads to ``<root>/pairs`` and ``<root>/outcomes``, their keys to ``<root>/ledger``.
 
-    ``responses(prompts, stage)`` answers a stage: it gets the thread key and prompt
-    and returns the thread key and ``response_text``.
+    ``responses(prompts, stage)`` answers a stage: it gets the thread key and prompt and returns the
+    thread key, ``response_text`` and, if it can fail, ``error``.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        classify_batch(batch, batch_id, responses, root, stage1_model, stage2_model, threshold)
+        classify_batch(batch, batch_id, responses, root, stage1_model, stage2_model, threshold, window=window)
 
     return _run(stream.dropDuplicates(KEY), each, f"{root}/_checkpoint")
 
