@@ -87,7 +87,7 @@ def keyword_replies(prompts: DataFrame, stage: int, keywords: dict[str, list[str
                         F.lit(-place).alias("place"),
                         F.lit(category).alias("category"),
                         F.lit(questions[category]).alias("question"),
-                        F.element_at(words, 1).alias("first"),
+                        F.get(words, 0).alias("first"),
                     )
                     for place, (category, wanted) in enumerate(sorted(keywords.items()))
                 ]
