@@ -17,7 +17,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from forgeline.llm import bpe
@@ -25,8 +25,10 @@ from forgeline.sources.tables import settle
 
 FREQUENT = 16  # documents in which a shingle may be before it counts as frequent
 EXTRA = 32  # how far every prefix is lengthened beyond the plain one
-PIVOT_ROUNDS = 6  # rounds of linking to one member per bucket, at most
+PIVOT_ROUNDS = 6  # rounds of linking to some members per bucket, at most
+PIVOTS = 16  # members of a bucket that the others are compared with in a round
 WORTH = 0.05  # share of a round's candidates that must have linked for another one
+HEAD = 16  # tokens of a class that say in which bucket a pair is made
 SKETCH = 512  # bits of a set's parity sketch
 SLOTS = 1 << 18  # rows of the pre-filter that is broadcast, at most
 MIX = (np.uint64(0x9FB21C651E98DF25), np.uint64(0xA0761D6478BD642F))
@@ -297,58 +299,77 @@ def _need(n1: str, n2: str, hot1: str, hot2: str, percent: int) -> Column:
     return (required(F.greatest(n1, n2), percent) - F.least(hot1, hot2)).alias("need")
 
 
+def near_sketches(percent: int, n1: str, n2: str, sketch1: str, sketch2: str) -> Column:
+    """Whether two parity sketches differ in no more bits than similar sets of these sizes can.
+
+    Similar sets differ in at most (1 - t) / (1 + t) of their sizes' sum, and sketches in no more.
+    """
+    apart = sum(
+        (F.bit_count(F.get(sketch1, F.lit(k)).bitwiseXOR(F.get(sketch2, F.lit(k)))) for k in range(SKETCH // 64)), F.lit(0)
+    )
+    return apart * (100 + percent) <= (F.col(n1) + F.col(n2)) * (100 - percent)
+
+
 def pivot_pairs(index: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Members of a bucket and size band, each with the one that is first in this turn's order."""
-    band = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100)))
-    banded = index.withColumn("band", band)
+    """Members of a bucket and size band, each with those that are first in this turn's order.
+
+    In the first turn that is one, later ``PIVOTS``, compared by sketch. A group whose members are near
+    each other, but few of them near enough, is connected by some turns of these, not by all its
+    pairs. Bands are moved by half their width every other turn, so a group on the edge of two is
+    inside one in the next.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100)) + turn % 2 / 2)
+    order = F.struct(F.xxhash64(F.lit(turn), "cid").alias("h"), "cid")
+    banded = index.withColumns({"band": band, "order": order})
     keys = ["pass", "token", "band"]
-    first = banded.groupBy(*keys).agg(
-        F.min(F.struct(F.xxhash64(F.lit(turn), "cid").alias("turn"), "cid", "n", "hot", "comp")).alias("p"),
-        (F.min("comp") != F.max("comp")).alias("open"),
-    )
-    met = (
-        banded.join(first.filter("open"), keys)
-        .filter((F.col("comp") != F.col("p.comp")) & similar_size("n", "p.n", percent))
-        .select(
-            "pass",
-            F.least("cid", "p.cid").alias("a"),
-            F.greatest("cid", "p.cid").alias("b"),
-            _need("n", "p.n", "hot", "p.hot", percent),
-        )
+    columns = [c for c in ("cid", "n", "hot", "comp", "order", "sketch") if c in banded.columns]
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("order"))
+    first = banded.withColumn("place", place).filter(F.col("place") <= (PIVOTS if turn else 1))
+    pivots = first.select(*keys, *[F.col(c).alias(f"{c}1") for c in columns])
+    apart = (F.col("comp") != F.col("comp1")) & similar_size("n", "n1", percent) & (F.col("order1") < F.col("order"))
+    if "sketch" in columns:
+        apart &= near_sketches(percent, "n", "n1", "sketch", "sketch1")
+    met = banded.join(pivots, keys).filter(apart)
+    return enough_shared(
+        met.select(
+            "pass", F.least("cid", "cid1").alias("a"), F.greatest("cid", "cid1").alias("b"), _need("n", "n1", "hot", "hot1", percent)
+        ),
+        percent,
     )
-    return enough_shared(met, percent)
 
 
-def still_open(index: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of the buckets whose members aren't all connected, with the component of each."""
+def still_open(index: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Rows of the buckets whose members aren't all connected, with the component and sketch of each."""
     labelled = index.drop("comp").join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     open_ones = (
         labelled.groupBy("pass", "token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
     )
-    return labelled.join(open_ones.select("pass", "token"), ["pass", "token"])
+    rows = labelled.join(open_ones.select("pass", "token"), ["pass", "token"])
+    return rows if "sketch" in rows.columns else rows.join(sketches, "cid")
 
 
-def cross_pairs(index: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+def cross_pairs(index: DataFrame, percent: int) -> DataFrame:
     """All pairs within a bucket that are not connected yet and whose sketches are near enough.
 
     Those of a bucket's main component, the one of its least member, need no pairs among
-    themselves; the others are paired with all that they are not connected with. Similar
-    sets differ in at most (1 - t) / (1 + t) of their sizes' sum, and sketches in no more.
+    themselves; the others are paired with all that they are not connected with.
+    A pair is made in the bucket of its least common token among the first ``HEAD`` of both, and in all
+    its buckets only where these have none in common. Then the tokens of both are counted.
     """
     main = index.groupBy("pass", "token").agg(F.min(F.struct("cid", "comp"))["comp"].alias("main"))
-    bucket = settle(index.join(main, ["pass", "token"]).join(sketches, "cid"), "open-buckets")
+    tokens = settle(index.groupBy("pass", "cid").agg(F.sort_array(F.collect_set("token")).alias("tokens")), "open-tokens")
+    heads = tokens.select("pass", "cid", F.slice("tokens", 1, HEAD).alias("head"))
+    bucket = settle(index.join(main, ["pass", "token"]).join(heads, ["pass", "cid"]), "open-buckets")
     left = bucket.filter("comp != main").select(
-        "pass", "token", *[F.col(c).alias(f"{c}1") for c in ("cid", "n", "hot", "comp", "sketch")]
-    )
-    apart = sum(
-        (F.bit_count(F.get("sketch", F.lit(k)).bitwiseXOR(F.get("sketch1", F.lit(k)))) for k in range(SKETCH // 64)),
-        F.lit(0),
+        "pass", "token", *[F.col(c).alias(f"{c}1") for c in ("cid", "n", "hot", "comp", "sketch", "head")]
     )
-    near = apart * (100 + percent) <= (F.col("n") + F.col("n1")) * (100 - percent)
+    near = near_sketches(percent, "n", "n1", "sketch", "sketch1")
+    least = F.array_min(F.array_intersect("head", "head1"))
     met = (
         bucket.join(left, ["pass", "token"])
-        .filter((F.col("comp") != F.col("comp1")) & similar_size("n", "n1", percent) & near)
+        .filter((F.col("comp") != F.col("comp1")) & similar_size("n", "n1", percent))
         .filter((F.col("comp") == F.col("main")) | (F.col("cid") < F.col("cid1")))
+        .filter(near & F.coalesce(least == F.col("token"), F.lit(True)))
         .select(
             "pass",
             F.least("cid", "cid1").alias("a"),
@@ -356,7 +377,10 @@ def cross_pairs(index: DataFrame, sketches: DataFrame, percent: int) -> DataFram
             _need("n", "n1", "hot", "hot1", percent),
         )
     )
-    return enough_shared(met, percent)
+    pairs = settle(met.filter("need > 0").distinct(), "open-pairs")
+    side = {s: tokens.select("pass", F.col("cid").alias(s), F.col("tokens").alias(f"tokens_{s}")) for s in "ab"}
+    counted = pairs.join(side["a"], ["pass", "a"]).join(side["b"], ["pass", "b"])
+    return counted.filter(F.size(F.array_intersect("tokens_a", "tokens_b")) >= F.col("need")).select("a", "b").distinct()
 
 
 def near_duplicates(
@@ -367,7 +391,7 @@ def near_duplicates(
     Two documents link when their sets of ``words``-word shingles (A-Z lower-cased, words split
     at ASCII white space) have a Jaccard similarity of ``percent``/100 or more. Equal sets become
     one class before anything else, however many copies there are. Members of a bucket are first
-    compared with one of them, in turns with another one, which connects large groups without
+    compared with a few of them, in turns with others, which connects large groups without
     pairing their members; at last pairs are made between all that is still unconnected. A
     candidate must meet in as many buckets as similar sets have to, and is verified on both whole
     texts. No connection between different texts is lost.
@@ -400,7 +424,7 @@ def near_duplicates(
 
     labels, tried, links, turn, last = None, None, None, 0, False
     while True:
-        pairs = cross_pairs(index, nodes.select("cid", "sketch"), percent) if last else pivot_pairs(index, turn, percent)
+        pairs = cross_pairs(index, percent) if last else pivot_pairs(index, turn, percent)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = settle(pairs, "pairs")
@@ -410,9 +434,9 @@ def near_duplicates(
         labels = components(links)
         if last:
             break
-        index = settle(still_open(index, labels), "index")
+        index = settle(still_open(index, labels, nodes.select("cid", "sketch")), "index")
         turn += 1
-        last = turn >= PIVOT_ROUNDS or linked.count() <= WORTH * pairs.count()
+        last = turn >= PIVOT_ROUNDS or turn > 1 and linked.count() <= WORTH * pairs.count()
     named = nodes.join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     member = settle(named.join(least, "comp").select("digest", "component_id"), "members")
