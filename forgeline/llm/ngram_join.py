@@ -338,13 +338,26 @@ def pivot_pairs(index: DataFrame, turn: int, percent: int) -> DataFrame:
     )
 
 
-def still_open(index: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Rows of the buckets whose members aren't all connected, with the component and sketch of each."""
+def able(index: DataFrame, percent: int) -> DataFrame:
+    """Rows of the classes that have as many buckets as a pair with any other must share.
+
+    What a pair needs grows with the larger size and falls by the smaller ``hot`` of both, so a class
+    with fewer buckets than its own size and ``hot`` ask for has no partner left here.
+    """
+    have = F.count("*").over(Window.partitionBy("pass", "cid"))
+    return index.withColumn("have", have).filter(F.col("have") >= required(F.col("n"), percent) - F.col("hot")).drop("have")
+
+
+def still_open(index: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Rows of the buckets whose members aren't all connected, with the component and sketch of each.
+
+    Only of classes that are :func:`able` in these buckets.
+    """
     labelled = index.drop("comp").join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     open_ones = (
         labelled.groupBy("pass", "token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
     )
-    rows = labelled.join(open_ones.select("pass", "token"), ["pass", "token"])
+    rows = able(labelled.join(open_ones.select("pass", "token"), ["pass", "token"]), percent)
     return rows if "sketch" in rows.columns else rows.join(sketches, "cid")
 
 
@@ -420,7 +433,7 @@ def near_duplicates(
     light, heavy = light_index(shared, percent)
     dense = heavy_index(heavy, nodes, docs, key, text, words, percent)
     index = light.withColumn("pass", F.lit(1)).unionByName(dense.withColumn("pass", F.lit(2)))
-    index = settle(index.withColumn("comp", F.col("cid")), "index")
+    index = settle(able(index, percent).withColumn("comp", F.col("cid")), "index")
 
     labels, tried, links, turn, last = None, None, None, 0, False
     while True:
@@ -434,7 +447,7 @@ def near_duplicates(
         labels = components(links)
         if last:
             break
-        index = settle(still_open(index, labels, nodes.select("cid", "sketch")), "index")
+        index = settle(still_open(index, labels, nodes.select("cid", "sketch"), percent), "index")
         turn += 1
         last = turn >= PIVOT_ROUNDS or turn > 1 and linked.count() <= WORTH * pairs.count()
     named = nodes.join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
