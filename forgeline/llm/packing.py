@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from forgeline.sources.tables import settle
 
 END_ID = 2
 RANK_GROUP = 4096  # pieces of one length ranked together
+KEPT_SIXTEENTHS = (16, 15, 14, 12, 8, 4, 2, 0)  # parts of the program that rounding tries to keep
 
 Pattern = tuple[tuple[int, int], ...]  # (length, copies), longest first
 
@@ -39,12 +41,17 @@ def with_end(ids: np.ndarray, count: np.ndarray, end_id: int) -> tuple[np.ndarra
 def tokenized_pieces(
     docs: DataFrame, size: int, path: str | None = None, key: str = "doc_id", text: str = "text", end_id: int = END_ID
 ) -> DataFrame:
-    """Pieces of every document: key, piece, start, length and the CRC-32 of the ids."""
+    """Pieces of every document: key, piece, start, length, the CRC-32 of the ids and a row number.
+
+    The row number is made of the task's partition and a count, so it tells repeated rows apart
+    once the table is written.
+    """
     path = path or vocabulary_path()
     key_type = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = bpe.tokenizer(path)
+        next_row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for row, ids, count in bpe.encode_texts(tokenizer, batch.column(1)):
                 ids, count = with_end(ids, count, end_id)
@@ -59,11 +66,13 @@ def tokenized_pieces(
                         pa.array(start),
                         pa.array(length),
                         pa.array(sums, pa.int64()),
+                        pa.array(np.arange(next_row, next_row + len(doc))),
                     ],
-                    names=[key, "piece", "start", "length", "ids_crc32"],
+                    names=[key, "piece", "start", "length", "ids_crc32", "row_number"],
                 )
+                next_row += len(doc)
 
-    schema = f"`{key}` {key_type}, piece int, start bigint, length bigint, ids_crc32 bigint"
+    schema = f"`{key}` {key_type}, piece int, start bigint, length bigint, ids_crc32 bigint, row_number bigint"
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
 
 
@@ -137,11 +146,9 @@ def take_whole(patterns: np.ndarray, times: np.ndarray, need: np.ndarray, length
     return left, plan
 
 
-def best_fit(need: dict[int, int], size: int, open_bins: list[tuple[Pattern, int]] | None = None):
+def best_fit(need: dict[int, int], size: int):
     """Best fit, longest first, over counts: whole groups of equal bins are filled at once."""
     groups: dict[int, dict[Pattern, int]] = defaultdict(lambda: defaultdict(int))
-    for pattern, n in open_bins or []:
-        groups[size - sum(a * b for a, b in pattern)][pattern] += n
     for length in sorted(need, reverse=True):
         todo = need[length]
         while todo:
@@ -163,12 +170,54 @@ def best_fit(need: dict[int, int], size: int, open_bins: list[tuple[Pattern, int
     return [(p, n) for g in groups.values() for p, n in g.items() if n]
 
 
+def keep_first(plan: list[tuple[Pattern, int]], sequences: int, left: dict[int, int]):
+    """The first sequences of a plan, and what is left when the others are given back."""
+    kept, rest = [], defaultdict(int, left)
+    for pattern, n in plan:
+        stay = min(n, sequences)
+        sequences -= stay
+        if stay:
+            kept.append((pattern, stay))
+        for length, copies in pattern if stay < n else ():
+            rest[length] += copies * (n - stay)
+    return kept, rest
+
+
+def round_plan(plan: list[tuple[Pattern, int]], left: dict[int, int], size: int) -> list[tuple[Pattern, int]]:
+    """Sequences of a rounded program and of the pieces that it left, as few as giving back can make them.
+
+    A program that has used up the small pieces leaves long ones that nothing fills. So patterns
+    are ordered, by their smallest piece or by how few pieces they have, and growing parts from
+    the end are given back to what best fit packs. The fewest sequences win, then the larger part of
+    the program. All of it may be given back, so best fit alone is never better.
+    """
+    total = sum(n for _, n in plan)
+    volume = sum(a * c * n for p, n in plan for a, c in p) + sum(a * c for a, c in left.items())
+    least = -(-volume // size)
+    found: list[tuple[Pattern, int]] | None = None
+    orders = [
+        sorted(plan, key=lambda item: -item[0][-1][0]),
+        sorted(plan, key=lambda item: sum(c for _, c in item[0])),
+    ]
+    fewest = None
+    for sixteenths in KEPT_SIXTEENTHS:
+        for order in orders:
+            kept, rest = keep_first(order, total * sixteenths // 16, left)
+            packed = kept + best_fit(rest, size)
+            count = sum(n for _, n in packed)
+            if fewest is None or count < fewest:
+                found, fewest = packed, count
+            if fewest == least:
+                return found
+    return found
+
+
 def plan_sequences(histogram: dict[int, int], size: int, rounds: int = 100, rate: float = 0.1, repeats: int = 3):
     """Patterns with how many sequences follow each, covering every piece exactly.
 
     The configuration program is solved over the histogram and rounded down, what is left is
-    solved again ``repeats`` times, and pieces that no pattern without waste took go by best
-    fit over the counts. Work depends on ``size``, not on how many pieces there are.
+    solved again ``repeats`` times, and :func:`round_plan` packs the pieces that no pattern
+    without waste took. Work depends on ``size``, not on how many pieces there are.
     """
     plan: list[tuple[Pattern, int]] = []
     left = {n: c for n, c in histogram.items() if c > 0}
@@ -185,9 +234,7 @@ def plan_sequences(histogram: dict[int, int], size: int, rounds: int = 100, rate
             break
         plan += taken
         left = {int(n): int(c) for n, c in zip(lengths, rest) if c}
-    full = [(p, n) for p, n in plan if sum(a * b for a, b in p) == size]
-    roomy = [(p, n) for p, n in plan if sum(a * b for a, b in p) < size]
-    return full + best_fit(left, size, roomy)
+    return round_plan(plan, left, size)
 
 
 def slots(plan: list[tuple[Pattern, int]]) -> dict[str, np.ndarray]:
@@ -213,18 +260,19 @@ def ranked_by_length(pieces: DataFrame, sizes: DataFrame, key: str) -> DataFrame
     """Pieces numbered from 0 within their length.
 
     A length with many pieces is dealt over as many groups as it has thousands, by a hash of
-    the row; rows are numbered inside a group and shifted by the sizes of the groups before.
-    ``sizes`` has one row per length, at most the sequence size.
+    the row number, so that repeated rows spread as well; rows are numbered inside a group and
+    shifted by the sizes of the groups before. ``sizes`` has one row per length, at most the
+    sequence size.
     """
     parts = F.greatest(F.lit(1), F.ceil(F.col("count") / RANK_GROUP))
     dealt = pieces.join(F.broadcast(sizes.select("length", parts.alias("parts"))), "length").withColumn(
-        "part", F.pmod(F.xxhash64(key, "piece", "ids_crc32"), F.col("parts"))
+        "part", F.pmod(F.xxhash64("row_number"), F.col("parts"))
     )
     order = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     before = dealt.groupBy("length", "part").count().select(
         "length", "part", F.coalesce(F.sum("count").over(order), F.lit(0)).alias("before")
     )
-    inside = Window.partitionBy("length", "part").orderBy(F.col(key).asc_nulls_first(), "piece", "ids_crc32")
+    inside = Window.partitionBy("length", "part").orderBy("row_number")
     return (
         dealt.withColumn("rank", F.row_number().over(inside) - 1)
         .join(before, ["length", "part"])

@@ -175,6 +175,26 @@ def test_small_plans_are_best():
     assert sum(n for _, n in packing.plan_sequences({10: 5, 1: 1}, 10)) == 6
 
 
+@pytest.mark.parametrize("mean,spread", [(300, 150), (500, 150), (700, 150), (400, 40)])
+def test_plan_is_never_above_best_fit(mean, spread):
+    draw = random.Random(mean)
+    histogram = Counter(min(1024, max(1, int(draw.gauss(mean, spread)))) for _ in range(20_000))
+    plan = packing.plan_sequences(dict(histogram), 1024)
+    covered = Counter()
+    for pattern, n in plan:
+        covered.update({length: copies * n for length, copies in pattern})
+    assert covered == histogram
+    assert sum(n for _, n in plan) <= sum(n for _, n in packing.best_fit(dict(histogram), 1024))
+
+
+def test_repeated_rows_are_ranked_in_many_groups(rows, monkeypatch):
+    monkeypatch.setattr(packing, "RANK_GROUP", 16)
+    pieces = packing.settle(packing.tokenized_pieces(rows("doc_id bigint, text string", *[(1, "a b")] * 400), 1024), "pieces")
+    assert pieces.select("row_number").distinct().count() == 400
+    ranked = packing.ranked_by_length(pieces, pieces.groupBy("length").count(), "doc_id")
+    assert sorted(r["rank"] for r in ranked.collect()) == list(range(400))
+
+
 def test_packing(odd_docs, rows):
     got = packing.pack(odd_docs, size=16).collect()
     source = Counter((r.doc_id, r.text) for r in odd_docs.collect())
