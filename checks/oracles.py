@@ -560,6 +560,11 @@ FROM v_assigned a LEFT JOIN v_leaders l ON l.repo = a.repo AND l.rank = 1
 LEFT JOIN v_top f ON f.repo = a.repo AND f.login = l.login AND f.rank = 5
 LEFT JOIN v_leaders t ON t.repo = a.repo AND t.rank = 10"""
 
+RAW["resolved_assignment_pairs"] = RAW["assignment_pairs"]
+RAW["shared_profiles"] = """
+SELECT l.repo, 0 AS part, l.rank - 1 AS place, l.login, l.total_commits, f.path AS fifth_file
+FROM v_leaders l LEFT JOIN v_top f ON f.repo = l.repo AND f.login = l.login AND f.rank = 5"""
+
 RAW["regression_pairs"] = """
 SELECT 'Q56' AS question_id, repo, issue_number, 1 AS tier,
   'Which commit introduced the regression in issue #' || issue_number || '?' AS question,
@@ -606,6 +611,12 @@ SELECT 'Q50' AS question_id, repo, CAST(NULL AS BIGINT) AS issue_number, 1 AS ti
   arg_min(first_hours, number) AS first_sample
 FROM v_pulls GROUP BY repo HAVING count(first_hours) >= 5"""
 
+RAW["shared_review_history"] = """
+SELECT repo, (place - 1) // 4096 AS part, count(*) AS samples,
+  round(arg_min(first_hours, place), 6) AS first_hours, round(arg_max(first_hours, place), 6) AS last_hours
+FROM (SELECT repo, first_hours, row_number() OVER (PARTITION BY repo ORDER BY number) AS place
+  FROM v_pulls WHERE first_hours IS NOT NULL) GROUP BY ALL"""
+
 VIEWS["v_all_pairs"] = f"""
 SELECT 'Q53' AS question_id, repo, number AS issue_number, 1 AS tier, {_question("Has this bug been reported before?", "p")} AS question FROM v_positive p
 UNION ALL SELECT 'Q53', repo, number, 1, {_question("Has this bug been reported before?", "p")} FROM v_negative p

@@ -27,7 +27,7 @@ from forgeline.operators import (
     review,
     threads,
 )
-from forgeline.plans import natural, qa_pairs
+from forgeline.plans import natural, qa_pairs, shared
 from forgeline.session import configure, new_run_folder
 from forgeline.sources import decisions, landing, ordinals, rejects, star
 from forgeline.sources.tables import only_repos, read_jsonl, read_table, settle, write_jsonl
@@ -648,6 +648,60 @@ def qa_builder_counts(spark, sf):
     return spark.createDataFrame(list(counts.items()), "builder STRING, n BIGINT")
 
 
+def _profiles(spark, sf):
+    paths = settle(_paths(spark, sf), "top-paths")
+    return settle(shared.profile_artifacts(_leaders(spark, sf, paths)), "profile-artifacts")
+
+
+@query
+def shared_profiles(spark, sf):
+    """One row per profile of the shared artifacts, in its place."""
+    rows = _profiles(spark, sf).select("repo", "part", F.posexplode("items").alias("place", "item"))
+    return rows.select(
+        "repo",
+        "part",
+        "place",
+        F.try_variant_get("item", "$.login", "string").alias("login"),
+        F.try_variant_get("item", "$.total_commits", "bigint").alias("total_commits"),
+        F.try_variant_get("item", "$.top_files[4].file", "string").alias("fifth_file"),
+    )
+
+
+@query
+def shared_review_history(spark, sf):
+    """Parts of the review times of each repo, by how many they hold and what they begin and end with."""
+    waits = settle(_pulls(spark, sf).select("repo", "number", "hours_to_first_review"), "waits")
+    hours = F.transform("items", lambda v: F.try_variant_get(v, "$.hours", "double"))
+    return shared.review_artifacts(waits).select(
+        "repo",
+        "part",
+        F.size("items").cast("bigint").alias("samples"),
+        F.round(F.element_at(hours, 1), 6).alias("first_hours"),
+        F.round(F.element_at(hours, -1), 6).alias("last_hours"),
+    )
+
+
+@query
+def resolved_assignment_pairs(spark, sf):
+    """Assignment pairs by reference, put together again with the profiles that they name."""
+    artifacts = _profiles(spark, sf)
+    refs = shared.assignment_refs(qa_pairs.Tables(issues=_issues(spark, sf)), artifacts)
+    pairs = shared.resolve(settle(refs, "assignment-refs"), artifacts)
+    return pairs.select(
+        "question_id",
+        "repo",
+        "issue_number",
+        "tier",
+        "question",
+        F.try_variant_get("ground_truth", "$.assignee", "string").alias("assignee"),
+        F.try_variant_get("artifacts_needed", "$.issue.labels[0]", "string").alias("first_label"),
+        F.try_variant_get(F.get("shared", 0), "$.login", "string").alias("leader"),
+        F.try_variant_get(F.get("shared", 0), "$.total_commits", "bigint").alias("leader_commits"),
+        F.try_variant_get(F.get("shared", 0), "$.top_files[4].file", "string").alias("leader_file"),
+        F.try_variant_get(F.get("shared", 9), "$.login", "string").alias("tenth"),
+    )
+
+
 # ---- threads -------------------------------------------------------------------
 
 

@@ -196,6 +196,19 @@ def top_profiles(totals: DataFrame, paths: DataFrame, settings: Settings = Setti
     )
 
 
+def assignment_pair(asked: DataFrame, artifacts: Column, settings: Settings) -> DataFrame:
+    """Q54 of the asked issues, with the given artifacts."""
+    return _pair(
+        asked,
+        "Q54",
+        _ask(ASK_ASSIGNEE, settings, F.lit("\nLabels: "), F.array_join("labels", ", ")),
+        F.struct(F.col("first_assignee_after_bug_label").alias("assignee")),
+        artifacts,
+        2,
+        F.col("number"),
+    )
+
+
 def assignment(t: Tables, settings: Settings = Settings()) -> DataFrame:
     """Q54: first assignee after the bug label, with the repo's leading contributors."""
     asked = t.issues.filter(present(F.col("first_assignee_after_bug_label"))).select(
@@ -215,15 +228,7 @@ def assignment(t: Tables, settings: Settings = Settings()) -> DataFrame:
     artifacts = F.struct(
         issue.alias("issue"), F.coalesce("contributor_profiles", no_profiles).alias("contributor_profiles")
     )
-    return _pair(
-        found,
-        "Q54",
-        _ask(ASK_ASSIGNEE, settings, F.lit("\nLabels: "), F.array_join("labels", ", ")),
-        F.struct(F.col("first_assignee_after_bug_label").alias("assignee")),
-        artifacts,
-        2,
-        F.col("number"),
-    )
+    return assignment_pair(found, artifacts, settings)
 
 
 def _nothing(kind: str) -> Column:
@@ -309,6 +314,13 @@ def review_time_medians(pull_requests: DataFrame, settings: Settings = Settings(
     return medians.filter(F.col("sample_size") >= settings.review_samples_min)
 
 
+def review_time_pair(medians: DataFrame, artifacts: Column) -> DataFrame:
+    """Q50 of the repos' medians, with the given artifacts."""
+    truth = F.struct(F.round("median", 1).alias("median_hours_to_first_review"), "sample_size")
+    question = F.concat(F.lit(ASK_REVIEW_TIME), "repo", F.lit("?"))
+    return _pair(medians, "Q50", question, truth, artifacts, 1)
+
+
 def review_time(t: Tables, settings: Settings = Settings()) -> DataFrame:
     """Q50: median hours to first review per repo."""
     waits = t.pull_requests.filter("hours_to_first_review IS NOT NULL").select(
@@ -318,9 +330,7 @@ def review_time(t: Tables, settings: Settings = Settings()) -> DataFrame:
         waits = ranking.top_k(waits, ["repo"], [F.asc("number")], settings.review_samples_shown)
     history = ranking.nest(waits, ["repo"], F.col("hours_to_first_review"), "number", "pr_review_history")
     found = review_time_medians(t.pull_requests, settings).join(history, "repo")
-    truth = F.struct(F.round("median", 1).alias("median_hours_to_first_review"), "sample_size")
-    question = F.concat(F.lit(ASK_REVIEW_TIME), "repo", F.lit("?"))
-    return _pair(found, "Q50", question, truth, F.struct("pr_review_history"), 1)
+    return review_time_pair(found, F.struct("pr_review_history"))
 
 
 Builder = Callable[[Tables, Settings], DataFrame]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from forgeline import schemas
 from forgeline.operators import ci, commits, contributors, inducing, issues, ownership, pulls
-from forgeline.plans import natural, qa_pairs
+from forgeline.plans import natural, qa_pairs, shared
 from forgeline.session import new_run_folder
 from forgeline.settings import Settings
 from forgeline.sources import landing, rejects, tables
@@ -133,6 +133,18 @@ def run(
     return counts
 
 
+def run_by_reference(spark: SparkSession, root: str, repos: list[str], settings: Settings = Settings()) -> None:
+    """``qa_pair_refs`` of the repos from the stored tables, after the ``shared_artifacts`` that they name.
+
+    Artifacts come first, so a crash between the two leaves pairs that name stored ones.
+    """
+    inputs = stored_inputs(spark, root, repos, settings)
+    artifacts = tables.settle(shared.shared_artifacts(inputs, settings), "shared-artifacts")
+    shared.add_artifacts(artifacts, f"{root}/shared_artifacts")
+    pairs = tables.settle(shared.build_refs(inputs, artifacts, settings), "pair-refs")
+    tables.replace_repos(pairs, f"{root}/qa_pair_refs", repos)
+
+
 def run_natural(
     spark: SparkSession,
     landed: str,

@@ -150,6 +150,9 @@ question_id STRING, question STRING, ground_truth VARIANT, artifacts_needed VARI
 tier INT, repo STRING, issue_number BIGINT
 """
 
+PAIR_REFS = f"{QA_PAIRS}, shared_field STRING, artifact_id STRING"
+SHARED_ARTIFACTS = "artifact_id STRING, kind STRING, repo STRING, part BIGINT, items ARRAY<VARIANT>"
+
 VERIFICATION = "pair_id STRING, status STRING, note STRING, verified_at TIMESTAMP"
 LEDGER = "repo STRING, source STRING, number BIGINT, stage_key STRING"
 
@@ -168,4 +171,6 @@ DATASETS = {
     "raw_threads": RAW_THREADS,
     "natural_qa_pairs": NATURAL_QA_PAIRS,
     "qa_pairs": QA_PAIRS,
+    "qa_pair_refs": PAIR_REFS,
+    "shared_artifacts": SHARED_ARTIFACTS,
 }

@@ -186,6 +186,13 @@ def test_whole_job(spark, tmp_path):
     runner.run(spark, str(base), root, ["a/b"])
     again = {r.question_id: r.n for r in table("qa_pairs").groupBy("question_id").agg(F.count("*").alias("n")).collect()}
     assert again == counts
+    # pairs by reference: the same questions, artifacts stored once however often it runs
+    for _ in range(2):
+        runner.run_by_reference(spark, root, ["a/b"])
+        referred = {r.question_id: r.n for r in table("qa_pair_refs").groupBy("question_id").agg(F.count("*").alias("n")).collect()}
+        assert referred == counts
+        assert sorted(r.kind for r in table("shared_artifacts").collect()) == ["contributor_profiles", "pr_review_history"]
+    assert table("qa_pair_refs").join(table("shared_artifacts"), "artifact_id").select("question_id").distinct().count() == 2
     exported = str(tmp_path / "export")
     tables.write_jsonl(table("qa_pairs"), exported)
     line = spark.read.text(exported).filter(F.contains("value", F.lit('"Q54"'))).first()[0]
