@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -178,6 +179,12 @@ class ChunkEncoder:
             yield np.concatenate(ids) if ids else np.empty(0, np.int32)
 
 
+@cache
+def encoder_of(path: str) -> ChunkEncoder:
+    """One encoder per worker process and file, so that its chunks outlive a task."""
+    return ChunkEncoder(bpe.tokenizer(path))
+
+
 def encode_documents(encoder: ChunkEncoder, column: pa.Array) -> Iterator[np.ndarray]:
     """Ids of every text of a column, long texts in parts cut where no pre-token crosses."""
     data, bounds = bpe.text_buffer(column)
@@ -212,8 +219,8 @@ def encode(
     """Ids of every whole text (``ids``, little-endian unsigned 32-bit), or digests of them.
 
     One narrow pass, nothing is shuffled. Texts are cut where a rolling hash of the last bytes
-    ends in zeros, so passages that documents share yield the same chunks; a worker encodes a
-    chunk once and keeps it, within ``REUSED_BYTES``. Joins between chunks are encoded again
+    ends in zeros, so passages that documents share yield the same chunks; a worker process
+    encodes a chunk once and keeps it for its later tasks too, until it holds ``REUSED_BYTES`` of them. Joins between chunks are encoded again
     until they agree with the chunk that follows. With ``digests`` the ids are also decoded
     and both sides come back as SHA-256.
 
@@ -225,8 +232,8 @@ def encode(
     key_type = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = bpe.tokenizer(path)
-        encoder = ChunkEncoder(tokenizer)
+        encoder = encoder_of(path)
+        tokenizer = encoder.tokenizer
         for batch in batches:
             at, count, shown = 0, [], [[], []]
 

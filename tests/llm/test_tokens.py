@@ -112,6 +112,7 @@ def test_equal_chunks_are_encoded_once(prose):
     before = len(encoder.chunks)
     list(chunk_bpe.encode_documents(encoder, pa.array([prose(3, 90) + shared])))
     assert len(encoder.chunks) - before < before / 4
+    assert chunk_bpe.encoder_of(PATH) is chunk_bpe.encoder_of(PATH)  # kept from task to task
 
 
 def test_decoding_replaces_what_is_no_text():
