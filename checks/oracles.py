@@ -650,6 +650,7 @@ SELECT repo, conv_id AS number, 'c' || n AS comment_id, author, stamp AS posted_
 FROM v_issue_posts JOIN v_replies r USING (conv_id) WHERE r.n >= 1""".replace("'c' || n", "'c' || v_issue_posts.n")
 RAW["discussion_thread_comments"] = """
 SELECT repo, conv_id AS number, 'c' || n AS comment_id, author, stamp AS posted_at, body, is_accepted, role FROM v_discussion_posts"""
+RAW["comment_days"] = "SELECT repo, substr(stamp, 1, 10) AS day, count(*) AS n FROM v_discussion_posts GROUP BY ALL"
 RAW["issue_thread_text"] = "SELECT repo, number, thread_text FROM v_issue_text"
 RAW["incremental_threads"] = RAW["issue_thread_text"]
 RAW["bounded_discussions"] = "SELECT repo, conv_id AS number, n AS total_comments, least(n, 15) AS n_comments FROM v_openings"
@@ -741,6 +742,11 @@ SELECT k.question_id, coalesce(q.description, '') AS description, k.n FROM (
   SELECT CASE WHEN is_full THEN 'Q' || (d % 37 + 1) ELSE 'NONE' END AS question_id, count(*) AS n
   FROM v_results WHERE outcome = 'kept' GROUP BY ALL) k
 LEFT JOIN (VALUES {_QUESTION_ROWS}) q(question_id, description) USING (question_id)"""
+RAW["taxonomy_usage"] = f"""
+SELECT q.question_id, q.description, q.active, coalesce(k.n, 0) AS n FROM (
+  SELECT question_id, description, true AS active FROM (VALUES {_QUESTION_ROWS}) v(question_id, description)
+  UNION ALL SELECT 'Q' || r.range, '', false FROM range(38, 47) r) q
+LEFT JOIN ({RAW["question_counts"]}) k USING (question_id)"""
 RAW["unprocessed_threads"] = "SELECT repo, source, number FROM v_stage1 WHERE gate IS NULL"
 RAW["incremental_classification"] = "SELECT repo, source, number, outcome FROM v_results"
 

@@ -121,6 +121,15 @@ def question_dimension(spark: SparkSession) -> DataFrame:
     )
 
 
+def usage(counts: DataFrame) -> DataFrame:
+    """The listing of all questions, retired ones and NONE included, with how many pairs each has.
+
+    ``counts`` has one row per question id at most.
+    """
+    listing = question_dimension(counts.sparkSession)
+    return listing.join(counts.select("question_id", "n"), "question_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
 def category_dimension(spark: SparkSession) -> DataFrame:
     """(category, category_name, question_list): 11 rows."""
     text = questions()

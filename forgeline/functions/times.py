@@ -18,6 +18,11 @@ def format_iso(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
+def date_prefix(text: Column) -> Column:
+    """The day of an ISO-8601 text as it is written; null stays null."""
+    return F.substring(text, 1, 10)
+
+
 def hours_between(start: Column, end: Column) -> Column:
     """Fractional hours, negative when ``end`` precedes ``start``."""
     return (F.unix_micros(end) - F.unix_micros(start)) / F.lit(MICROS_PER_HOUR)

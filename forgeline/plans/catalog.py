@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from forgeline import schemas
-from forgeline.functions import json_text, refs, text
+from forgeline.functions import json_text, refs, taxonomy, text, times
 from forgeline.operators import (
     ci,
     classify,
@@ -723,6 +723,13 @@ def issue_thread_comments(spark, sf):
     return _comment_rows(_issue_threads(spark, sf))
 
 
+@query
+def comment_days(spark, sf):
+    """Comments of discussions per repo and day."""
+    rows = _comment_rows(_discussion_threads(spark, sf))
+    return rows.groupBy("repo", times.date_prefix(F.col("posted_at")).alias("day")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def discussion_thread_comments(spark, sf):
     return _comment_rows(_discussion_threads(spark, sf))
@@ -933,6 +940,13 @@ def question_counts(spark, sf):
     return classify.question_summary(_doc_results(spark, sf).filter("outcome = 'kept'"))
 
 
+@query
+def taxonomy_usage(spark, sf):
+    """Every question of the taxonomy with its natural pairs, unused and retired ones too."""
+    rows = taxonomy.usage(classify.question_summary(_doc_results(spark, sf).filter("outcome = 'kept'")))
+    return rows.select("question_id", F.coalesce("description", F.lit("")).alias("description"), "active", "n")
+
+
 @query
 def unprocessed_threads(spark, sf):
     docs = star.document_threads(spark, sf).select(*classify.THREAD_KEY)

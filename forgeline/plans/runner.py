@@ -33,7 +33,7 @@ def mine(
     """
 
     def save(name: str, df: DataFrame) -> None:
-        tables.write_new_repos(df, f"{root}/{name}", schemas.DATASETS[name], repos)
+        tables.write_new_repos(df, f"{root}/{name}", repos)
 
     def landed_rows(kind: str) -> DataFrame:
         if budget is None:
@@ -47,12 +47,9 @@ def mine(
     def raw(kind: str) -> DataFrame:
         return tables.only_repos(landed_rows(kind), repos)
 
-    def new_repos(name: str) -> list[str]:
-        return [r for r in repos if not tables.is_materialised(spark, f"{root}/{name}", schemas.DATASETS[name], r)]
-
     wanted = issues.with_source_labels(raw("issues"), settings.source_labels)
     save("issues", issues.normalise_issues(wanted, settings))
-    if todo := new_repos("commits"):
+    if todo := tables.missing_repos(spark, f"{root}/commits", repos):
         listing, details = landed_rows("commit_listing"), landed_rows("commits")
         if budget is not None:
             rejects.write_rejects(rejects.missing_details(listing, details, ["repo", "sha"], "commits"), root, "details")

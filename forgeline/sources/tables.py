@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -79,14 +80,20 @@ def replace_repos(df: DataFrame, path: str, repos: list[str]) -> None:
     drop_repos(df.sparkSession, path, [r for r in repos if r not in present])
 
 
-def is_materialised(spark: SparkSession, path: str, schema: str, repo: str) -> bool:
-    """Whether the dataset already holds rows of the repo; looks at one row at most."""
-    return not read_table(spark, path, schema, [repo]).isEmpty()
+def missing_repos(spark: SparkSession, path: str, repos: list[str]) -> list[str]:
+    """Repos without rows in the dataset, from one listing of its folders; no job runs.
+
+    A folder is there only if a committed write had rows for it.
+    """
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    present = {unquote(s.getPath().getName()) for s in fs.listStatus(root)} if fs.exists(root) else set()
+    return [r for r in repos if f"repo_dir={r.replace('/', '__')}" not in present]
 
 
-def write_new_repos(df: DataFrame, path: str, schema: str, repos: list[str]) -> list[str]:
+def write_new_repos(df: DataFrame, path: str, repos: list[str]) -> list[str]:
     """Write only repos that have no data yet; returns those written."""
-    todo = [r for r in repos if not is_materialised(df.sparkSession, path, schema, r)]
+    todo = missing_repos(df.sparkSession, path, repos)
     if todo:
         write_table(df.filter(F.col("repo").isin(todo)), path)
     return todo

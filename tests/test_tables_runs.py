@@ -53,10 +53,22 @@ def test_tables_by_repo(spark, rows, tmp_path):
     pruned = tables.read_table(spark, path, SMALL, ["c/d"])
     assert pruned.columns == ["repo", "a", "b"] and [r.a for r in pruned.collect()] == [2]
     assert "PartitionFilters: [isnotnull(repo_dir" in pruned._jdf.queryExecution().toString()
-    assert tables.write_new_repos(rows(SMALL, ("a/b", 9, ""), ("e/f", 9, "")), path, SMALL, ["a/b", "e/f"]) == ["e/f"]
+    assert tables.write_new_repos(rows(SMALL, ("a/b", 9, ""), ("e/f", 9, "")), path, ["a/b", "e/f"]) == ["e/f"]
     assert {(r.repo, r.a) for r in tables.read_table(spark, path, SMALL).collect()} == {("a/b", 3), ("c/d", 2), ("e/f", 9)}
 
 
+def test_missing_repos_takes_no_job(spark, rows, tmp_path):
+    path = str(tmp_path / "t")
+    assert tables.missing_repos(spark, path, ["a/b", "c"]) == ["a/b", "c"]
+    tables.write_table(rows(SMALL, ("a/b", 1, "x"), ("c:d", 1, "x"), ("e", 1, "x")), path)
+    spark.sparkContext.setJobGroup("missing", "listing")
+    assert tables.missing_repos(spark, path, ["a/b", "c", "c:d", "e"]) == ["c"]
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("missing")) == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tables.drop_repos(spark, path, ["a/b"])
+    assert tables.missing_repos(spark, path, ["a/b", "e"]) == ["a/b"]
+
+
 def test_ledger_files(spark, rows, tmp_path):
     path = str(tmp_path / "ledger")
     entry = rows(schemas.LEDGER, ("r", "issue", 1, "k"))
