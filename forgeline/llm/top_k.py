@@ -189,15 +189,16 @@ def search(
             for b, (_, longest) in sorted(stats.items())
         ]
     ).cast("array<array<bigint>>")
+    # both sides' keys have one type: as int and bigint, equal numbers hash to different partitions
     left = queries.withColumn("block", F.explode(F.flatten(F.filter(reach, lambda x: x.isNotNull())))).withColumn(
-        "part", F.pmod(F.xxhash64("uid"), F.lit(q_blocks))
+        "part", F.pmod(F.xxhash64("uid"), F.lit(q_blocks)).cast("bigint")
     )
     count = F.coalesce(*[F.when(F.col("bucket") == b, F.lit(n)) for b, n in blocks.items()], F.lit(1))
     right = (
         sized.select("uid", "id", "norm", "parts", "bucket")
         .withColumn("block", F.col("bucket").cast("bigint") * MOST_BLOCKS + F.pmod(F.xxhash64("uid"), count))
         .drop("bucket")
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+        .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)).cast("array<bigint>")))
     )
 
     def compare(queries: pa.Table, candidates: pa.Table) -> pa.Table:

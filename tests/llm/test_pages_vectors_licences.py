@@ -103,6 +103,20 @@ def test_search_equals_brute_force(monkeypatch, rows, high, candidates, queries,
     assert Counter(map(tuple, got.collect())) == search_brute(data, 7)
 
 
+def test_search_finds_all_in_partitions_left_apart(monkeypatch, spark, rows):
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    monkeypatch.setattr(top_k, "QUERIES", 3)
+    draw = np.random.default_rng(2)
+    data = [(k, [float(np.float32(x)) for x in v]) for k, v in enumerate(draw.normal(size=(200, 4)))]
+    try:
+        spark.conf.set(name, "false")
+        got = top_k.search(rows("vec_id bigint, embedding array<float>", *data), F.col("vec_id") % 20 == 0, k=7)
+        assert Counter(map(tuple, got.collect())) == search_brute(data, 7)
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_search_of_few_or_none(rows):
     schema = "vec_id bigint, embedding array<float>"
     few = rows(schema, (0, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.5, 0.0]))
