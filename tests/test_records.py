@@ -1,7 +1,9 @@
 """Landed records to analysis rows."""
 
+from __spark_entry__ import SMALL
 from forgeline import schemas
 from forgeline.operators import ci, commits, issues, pulls
+from forgeline.plans.catalog import QUERIES
 from forgeline.settings import Settings
 from forgeline.sources import landing
 
@@ -221,3 +223,10 @@ def test_failure_rates_keep_the_null_actor(rows):
     got = {r.actor: (r.failures, r.total_runs, r.failure_rate) for r in ci.actor_failure_rates(runs).collect()}
     assert got == {None: (1, 2, 0.5), "u": (0, 1, 0.0)}
     assert [tuple(r) for r in ci.workflow_failures(runs).collect()] == [("r", "w1", 1)]
+
+
+def test_order_lines_are_sorted_once_and_collected_in_order(spark):
+    plan = QUERIES["pull_request_records"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2 and "ObjectHashAggregate" not in plan
+    slim = QUERIES["review_time_medians"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "row, thread" not in slim and "row, request" not in slim and "row, review" in slim
