@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from forgeline.llm import bpe
-from forgeline.sources.tables import settle
+from forgeline.session import new_run_folder
+from forgeline.sources.tables import discard, settle, settle_at
 
 FREQUENT = 16  # documents in which a shingle may be before it counts as frequent
 EXTRA = 32  # how far every prefix is lengthened beyond the plain one
@@ -184,6 +185,27 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text:
     return both.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def spanning(links: DataFrame, turn: int) -> DataFrame:
+    """Links (a, b) that connect the same classes with few of the given ones' number.
+
+    Of the two ends of a link, one is later in this turn's order. It keeps the link to the first of
+    those it is linked to, and the others of those are linked to that one instead. Members that were
+    linked to the same pivots then give the same links between these, which are counted once.
+    """
+
+    def place(end: str) -> Column:
+        return F.struct(F.xxhash64(F.lit(turn), end).alias("h"), F.col(end).alias("cid"))
+
+    ends = links.select(
+        F.greatest(place("a"), place("b"))["cid"].alias("later"), F.least(place("a"), place("b")).alias("sooner")
+    )
+    first = ends.withColumn("first", F.min("sooner").over(Window.partitionBy("later"))).select(
+        "later", F.col("sooner.cid").alias("sooner"), F.col("first.cid").alias("first")
+    )
+    kept = F.array(*[F.struct(F.least(e, "first").alias("a"), F.greatest(e, "first").alias("b")) for e in ("later", "sooner")])
+    return first.select(F.inline(kept)).filter("a < b").distinct()
+
+
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """(cid, comp): the smallest node that each node of ``links`` (a, b) can reach.
 
@@ -320,8 +342,10 @@ def pivot_pairs(index: DataFrame, turn: int, percent: int) -> DataFrame:
     """
     band = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100)) + turn % 2 / 2)
     order = F.struct(F.xxhash64(F.lit(turn), "cid").alias("h"), "cid")
-    banded = index.withColumns({"band": band, "order": order})
     keys = ["pass", "token", "band"]
+    banded = index.withColumns({"band": band, "order": order})
+    # Without nulls both sides of the join are the same rows, which are then shuffled once.
+    banded = banded.filter(reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in banded.columns])).repartition(*keys)
     columns = [c for c in ("cid", "n", "hot", "comp", "order", "sketch") if c in banded.columns]
     place = F.row_number().over(Window.partitionBy(*keys).orderBy("order"))
     first = banded.withColumn("place", place).filter(F.col("place") <= (PIVOTS if turn else 1))
@@ -351,14 +375,15 @@ def able(index: DataFrame, percent: int) -> DataFrame:
 def still_open(index: DataFrame, labels: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Rows of the buckets whose members aren't all connected, with the component and sketch of each.
 
-    Only of classes that are :func:`able` in these buckets.
+    Only of classes that are :func:`able` in these buckets. Sketches are many times as long as a row,
+    so they are joined last, to rows that are dealt by class already.
     """
-    labelled = index.drop("comp").join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    labelled = index.drop("comp", "sketch").join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     open_ones = (
         labelled.groupBy("pass", "token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
     )
-    rows = able(labelled.join(open_ones.select("pass", "token"), ["pass", "token"]), percent)
-    return rows if "sketch" in rows.columns else rows.join(sketches, "cid")
+    rows = labelled.join(open_ones.select("pass", "token"), ["pass", "token"])
+    return able(rows.repartition("cid"), percent).join(sketches, "cid")
 
 
 def cross_pairs(index: DataFrame, percent: int) -> DataFrame:
@@ -423,7 +448,9 @@ def near_duplicates(
         F.first("first").alias("first"),
     )
     tokens = classes.select("cid", "n", F.posexplode("first").alias("pos", "token"))
-    shared = settle(shared_tokens(tokens), "shared")
+    spark = docs.sparkSession
+    stored = new_run_folder(spark, "shared")
+    shared = settle_at(shared_tokens(tokens), stored)
     nodes = settle(
         real.groupBy("digest").agg(
             F.min("uid").alias("cid"), F.min(key).alias("rep"), F.first("sketch").alias("sketch")
@@ -433,7 +460,9 @@ def near_duplicates(
     light, heavy = light_index(shared, percent)
     dense = heavy_index(heavy, nodes, docs, key, text, words, percent)
     index = light.withColumn("pass", F.lit(1)).unionByName(dense.withColumn("pass", F.lit(2)))
-    index = settle(able(index, percent).withColumn("comp", F.col("cid")), "index")
+    made = new_run_folder(spark, "index")
+    index = settle_at(able(index, percent).withColumn("comp", F.col("cid")), made)
+    discard(spark, stored)
 
     labels, tried, links, turn, last = None, None, None, 0, False
     while True:
@@ -442,12 +471,15 @@ def near_duplicates(
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = settle(pairs, "pairs")
         linked = settle(verify(pairs, nodes, docs, key, text, words, percent), "links")
-        links = linked if links is None else links.union(linked)
+        fewer = settle(spanning(linked, turn), "spanning")
+        links = fewer if links is None else links.union(fewer)
         tried = pairs if tried is None else tried.union(pairs)
         labels = components(links)
         if last:
             break
-        index = settle(still_open(index, labels, nodes.select("cid", "sketch"), percent), "index")
+        stored, made = made, new_run_folder(spark, "index")
+        index = settle_at(still_open(index, labels, nodes.select("cid", "sketch"), percent), made)
+        discard(spark, stored)
         turn += 1
         last = turn >= PIVOT_ROUNDS or turn > 1 and linked.count() <= WORTH * pairs.count()
     named = nodes.join(labels, "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))

@@ -113,3 +113,33 @@ def test_no_documents(rows):
     empty = rows("doc_id bigint, text string")
     assert ngram_join.near_duplicates(empty).count() == 0
     assert ngram_join.keep_one(empty).count() == 0
+
+
+def test_links_of_a_large_group_are_thinned_and_connect_the_same(rows):
+    draw = random.Random(4)
+    # 300 members linked to most of 20 pivots, a chain, and a pair
+    links = {(draw.randrange(20), m) for m in range(100, 400) for _ in range(40)}
+    links |= {(k, k + 1) for k in range(500, 520)} | {(700, 900)}
+    for turn in (0, 3):
+        fewer = [tuple(r) for r in ngram_join.spanning(rows("a bigint, b bigint", *links), turn).collect()]
+        assert len(links) > 4000 and 4 * len(fewer) < len(links)
+
+        def groups(edges):
+            near = {}
+            for a, b in edges:
+                near.setdefault(a, {a}).add(b)
+                near.setdefault(b, {b}).add(a)
+            low = {k: k for k in near}
+            while (new := {k: min(low[m] for m in near[k]) for k in near}) != low:
+                low = new
+            return low
+
+        assert groups(fewer) == groups(links)
+
+
+def test_old_index_tables_are_not_kept(spark, rows, documents, monkeypatch, tmp_path):
+    from pathlib import Path
+
+    monkeypatch.setattr(ngram_join, "new_run_folder", lambda spark, name: f"{tmp_path}/{name}-{len(list(Path(tmp_path).iterdir()))}")
+    ngram_join.near_duplicates(rows("doc_id bigint, text string", *documents)).count()
+    assert len([p for p in Path(tmp_path).iterdir() if p.name.startswith("index")]) == 1
