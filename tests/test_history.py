@@ -1,6 +1,8 @@
 """Inducing commits, ownership, ranking: laws and brute force."""
 
+import hashlib
 import random
+import re
 import statistics
 from collections import Counter, defaultdict
 from datetime import datetime, timedelta, timezone
@@ -9,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from forgeline.operators import contributors, inducing, ownership, ranking
+from forgeline.sources import star, tables
 
 DAY0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
 TOUCH = (
@@ -175,3 +178,38 @@ def test_exact_median(rows, seed):
     got = {r.g: (r.median, r.sample_size) for r in ranking.exact_median(df, ["g"], "v", F.floor("v")).collect()}
     for g, vs in groups.items():
         assert got[g][0] == pytest.approx(statistics.median(vs)) and got[g][1] == len(vs)
+
+
+def test_busy_files_go_by_days_and_others_are_shuffled_once(rows, tmp_path, spark):
+    data = random_touches(600, seed=7)
+    data += [touch("n1", timedelta(1), None), touch("n2", timedelta(2), None, refs=[3]), touch("n3", timedelta(2), "f1", refs=[3], repo=None)]
+    df = tables.settle_at(rows(TOUCH, *data), f"{tmp_path}/touches")
+    want = brute_force([t for t in data if t[0] and t[6]])
+    # 600 touches: none, the hot file alone and all files are busy
+    for busy in (1_000_000, 100, 0):
+        pairs = inducing.inducing_pairs(df, busy_touches=busy)
+        assert sorted((r.issue_number, r.fix_sha, r.inducing_sha, r.file) for r in pairs.collect()) == want
+    pairs = inducing.inducing_pairs(df)
+    pairs.collect()
+    final = pairs._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    # the keys for the counts by bucket, and each touch
+    assert len(re.findall(r"hashpartitioning\(path|hashpartitioning\(repo", final)) == 1, final
+
+
+def test_touches_shuffle_lines_once(spark, rows, tmp_path):
+    orders = [(k, k, "F", None, datetime(2024, 1, 1 + k), "1-URGENT") for k in range(6)] + [(2, 7, "O", None, datetime(2024, 2, 1), "5-LOW")]
+    lines = [(k % 8, p, 1, n, 1.0, 1.0, 0.0, 0.0, "R", "O", datetime(2024, 3, 1)) for n, (k, p) in enumerate([(0, 1), (0, 1), (0, 2), (1, 2), (2, 1), (2, 9), (7, 1)])]
+    lines += [(None, 1, *lines[0][2:]), (1, None, *lines[0][2:])]
+    parts = [(1, "a", "Brand#1", "LARGE", 1, 1.0), (2, "b", "Brand#2", None, 1, 1.0), (2, "b", "Brand#3", "SMALL", 1, 1.0)]
+    for name, data in (("orders", orders), ("lineitem", lines), ("part", parts)):
+        rows(star.TABLES[name], *data).write.parquet(f"{tmp_path}/{name}.parquet")
+    df = star.touches(spark, str(tmp_path))
+    got = sorted((r.sha, r.author_login or "", r.path or "") for r in df.collect())
+    md5 = [hashlib.md5(str(k).encode()).hexdigest() for k in range(3)]
+    want = [(md5[0], "", "src/LARGE/Brand1/p1"), (md5[0], "", ""), (md5[0], "", "src/SMALL/Brand3/p2"), (md5[1], "u1", ""), (md5[1], "u1", "src/SMALL/Brand3/p2")]
+    want += [(md5[2], "u2", "src/LARGE/Brand1/p1"), (md5[2], "u7", "src/LARGE/Brand1/p1")]
+    assert got == sorted(want)
+    final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert not re.search(r"hashpartitioning\([^,]+, l_partkey", final)
+    dealt = re.findall(r"hashpartitioning\(o_orderkey", final)
+    assert len(dealt) == 2, final  # lines and orders

@@ -1,6 +1,8 @@
 """Rejects, several datasets from one scan, ordinals of lines, counts while writing, job order."""
 
 import json
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -155,3 +157,20 @@ def test_whole_job_with_damaged_lines(spark, tmp_path):
     assert sum(counts.values()) == tables.read_table(spark, f"{root}/qa_pairs", schemas.QA_PAIRS).count()
     assert {(r.kind, r.reason) for r in rejects.read_rejects(spark, root).collect()} == {("issues", "not JSON"), ("commits", "no detail")}
     assert tables.read_table(spark, f"{root}/touches", schemas.TOUCHES).count() == 1
+
+
+def test_settled_tables_leave_no_shuffle_files(spark, tmp_path):
+    def kept():
+        dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return {p for d in dirs for p in Path(d.getPath()).rglob("shuffle_*.data")}
+
+    before, was = kept(), spark.conf.get(tables.SHUFFLE_CLEANUP)
+    rows = spark.range(20_000).withColumn("k", F.col("id") % 997).repartition(7, "k").groupBy("k").agg(F.sum("id").alias("s"))
+    done = tables.settle(rows, "sums")
+    for _ in range(50):
+        if not kept() - before:
+            break
+        time.sleep(0.1)
+    assert not kept() - before
+    assert done.count() == 997 and done.agg(F.sum("s")).first()[0] == 20_000 * 19_999 // 2
+    assert spark.conf.get(tables.SHUFFLE_CLEANUP) == was
