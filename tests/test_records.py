@@ -230,3 +230,17 @@ def test_order_lines_are_sorted_once_and_collected_in_order(spark):
     assert plan.count("FileScan") == 2 and "ObjectHashAggregate" not in plan
     slim = QUERIES["review_time_medians"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "row, thread" not in slim and "row, request" not in slim and "row, review" in slim
+
+
+def test_references_alone_do_not_make_comments(landed):
+    body = "dup of #4, see also #5"
+    comment = {"databaseId": 9, "author": {"login": "a"}, "body": body, "createdAt": "2024-01-01T00:00:00Z"}
+    record = issue(body="same as #2", comments={"totalCount": 2, "nodes": [comment, {"databaseId": 8}]})
+    rows = issues.normalise_issues(landed(schemas.RAW_ISSUE, record))
+    whole = rows.select("duplicate_of", "related_issues", "comments").first()
+    assert (whole.duplicate_of, whole.related_issues) == ([2, 4], [5])
+    assert [(c.id, c.duplicate_refs, c.related_refs) for c in whole.comments] == [(9, [4], [5]), (8, [], [])]
+    some = rows.select("number", "duplicate_of")
+    assert some.first().duplicate_of == [2, 4]
+    plan = some._jdf.queryExecution().optimizedPlan().toString()
+    assert "dup of" in plan and "see also" not in plan
