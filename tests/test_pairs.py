@@ -1,13 +1,18 @@
 """Question/answer pair builders on small tables."""
 
 import json
+from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from forgeline import schemas
-from forgeline.plans import qa_pairs
+from forgeline.operators import ownership
+from forgeline.plans import catalog, qa_pairs
+from forgeline.session import shared_folder
 from forgeline.settings import Settings
+from forgeline.sources import star
 
 
 def issue(number, dup=(), is_dup=False, body="b", repo="r", assignee=None):
@@ -136,3 +141,28 @@ def test_failing_builder_fails_the_job(issues):
 
     with pytest.raises(ValueError):
         qa_pairs.build_all(qa_pairs.Tables(issues=issues(issue(1))), Settings(), {"broken": broken})
+
+
+def test_builder_inputs_hold_what_builders_read(spark, rows, tmp_path):
+    at = datetime(2024, 1, 1)
+    orders = [(k, k % 7, "FOP"[k % 3], None, at + timedelta(days=k), "1-URGENT") for k in range(30)]
+    lines = [(k, k % 4, k % 5 + 1, n, 1.0, 1.0, 0.0, 0.0, "R", "O", at + timedelta(days=k)) for k in range(30) for n in range(1, 5)]
+    parts = [(p, "a", "Brand#1", "LARGE", 1, 1.0) for p in range(4)]
+    events = [(k, at, 1, "error", 1.0, '{"k": 3}') for k in range(5)]
+    for name, data in (("orders", orders), ("lineitem", lines), ("part", parts), ("events", events)):
+        rows(star.TABLES[name], *data).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    def folders(name):
+        return set(Path(shared_folder(spark)).glob(f"{name}-*"))
+
+    before = {name: folders(name) for name in ("expertise", "top-paths")}
+    t = catalog._pair_inputs(catalog.configure(spark), str(tmp_path))
+    # the roll-up of all paths goes when its readers are written, and nobody else's paths are ranked and kept
+    assert {name: folders(name) for name in before} == before
+    assert set(t.issues.columns) == set(qa_pairs.ISSUE_COLUMNS)
+    assert set(t.pull_requests.columns) == set(qa_pairs.PULL_COLUMNS)
+    everyone = ownership.top_paths(star.touches(spark, str(tmp_path)))
+    whole = qa_pairs.top_profiles(catalog._totals(spark, str(tmp_path)), everyone)
+    profiles = [json.dumps([r.asDict(recursive=True) for r in df.orderBy("repo").collect()]) for df in (t.leaders, whole)]
+    assert profiles[0] == profiles[1] and t.leaders.count() == 3
+    assert {r.question_id for r in qa_pairs.build_all(t).select("question_id").distinct().collect()} >= {"Q18", "Q19", "Q32", "Q33"}
